@@ -6,9 +6,25 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from . import op1_bpe_codec, op7_packing, op9_token_counts, op10_token_files
-from .common import scratch
+from pyspark.sql import functions as F
+
+from . import op1_bpe_codec, op3_media, op5_topk, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
+from .common import crc_bucket, scratch
+
+OP5_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,6 +42,21 @@ def op1_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_media.media_features(op3_media.to_media(table(spark, sf_dir, "documents")))
+
+
+def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+def op8_weak_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = op8_toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = op8_toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_bucket("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
@@ -47,11 +78,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_codec": op1_bpe_codec_query,
+        "op3_media_columns": op3_media_columns,
+        "op5_exact_topk": op5_exact_topk,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_weak_toxicity": op8_weak_toxicity,
         "op9_token_counts": op9_token_counts_query,
         "op10_rans_token_files": op10_rans_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_exact_topk": OP5_SQL,
+    }
