@@ -109,7 +109,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 lens = np.empty(len(uniq), np.int64)
                 lens[hit] = lengths[slot[hit]]
                 rest = np.flatnonzero(~hit)
-                lens[rest] = t.known_len[t.cached(uniq[rest], buf, first[where[rest]], size[where[rest]])]
+                place = t.cached(uniq[rest], buf, first[where[rest]], size[where[rest]])
+                lens[rest] = t.known_len[place]
                 total = np.concatenate([[0], np.cumsum(lens[inverse])])
                 counts = np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
             if owner is not None:
