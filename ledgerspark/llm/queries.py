@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_bpe_codec, op3_media, op5_topk, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
+from . import op1_bpe_codec, op3_media, op4_simhash, op5_topk, op6_secrets, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
 from .common import crc_bucket, scratch
 
 OP5_SQL = """
@@ -46,6 +46,14 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_media.media_features(op3_media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op4_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
@@ -79,7 +87,9 @@ def queries() -> dict[str, Query]:
     return {
         "op1_bpe_codec": op1_bpe_codec_query,
         "op3_media_columns": op3_media_columns,
+        "op4_simhash_near_dups": op4_simhash_near_dups,
         "op5_exact_topk": op5_exact_topk,
+        "op6_secret_scan": op6_secret_scan,
         "op7_best_fit_packing": op7_best_fit_packing,
         "op8_weak_toxicity": op8_weak_toxicity,
         "op9_token_counts": op9_token_counts_query,
@@ -90,4 +100,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_topk": OP5_SQL,
+        "op6_secret_scan": op6_secrets.oracle(),
     }
