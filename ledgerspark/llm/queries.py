@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_bpe_codec, op3_media, op4_simhash, op5_topk, op6_secrets, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
+from . import op1_bpe_codec, op2_hpylm, op3_media, op4_simhash, op5_topk, op6_secrets, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
 from .common import crc_bucket, scratch
 
 OP5_SQL = """
@@ -42,6 +42,10 @@ def op1_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op2_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_hpylm.score(table(spark, sf_dir, "documents"), folds=5, held=1)
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_media.media_features(op3_media.to_media(table(spark, sf_dir, "documents")))
 
@@ -86,6 +90,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_codec": op1_bpe_codec_query,
+        "op2_pitman_yor_scores": op2_pitman_yor_scores,
         "op3_media_columns": op3_media_columns,
         "op4_simhash_near_dups": op4_simhash_near_dups,
         "op5_exact_topk": op5_exact_topk,
