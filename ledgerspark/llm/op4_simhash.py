@@ -24,9 +24,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import Tokenizer
 from .common import map_batches, saved, text_bytes
 from .graph import components
 
@@ -246,3 +247,112 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
     """(id, fingerprint, component_id) of every row."""
     found = near_components(fingerprints(docs, shingle, id_col, text_col), distance, id_col)
     return found.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# -- near copies by resemblance -------------------------------------------------
+#
+# Two texts whose five-word shingles agree to 0.8 differ in 6 to 13 of 64 SimHash bits, which no partitioning of 64 bits
+# can search without comparing nearly everything.  For a similarity threshold the SimHash links are therefore joined by
+# candidates from bands of least shingle hashes, and every candidate is verified on whole shingle sets.
+
+BANDS, BAND_ROWS = 20, 3
+
+
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's word shingles, ascending (of all its words, if they are fewer)."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    buf = np.frombuffer(b"".join(words) + bytes(16), np.uint8)
+    h = Tokenizer.hashes(buf, np.cumsum(size) - size, size)
+    span = min(shingle, len(h))
+    out = np.zeros(len(h) - span + 1, np.uint64)
+    for i in range(span):
+        out ^= h[i : i + len(out)]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return np.unique(out)
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """One key for each band: a hash of the least values of its permutations (none for an empty set)."""
+    if not len(hashes):
+        return []
+    rng = np.random.Generator(np.random.PCG64(7))
+    factors = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 4096):
+        x = hashes[None, a : a + 4096] * factors[:, None]
+        x ^= x >> np.uint64(32)
+        least = np.minimum(least, (x * np.uint64(0xD6E8FEB86659FD93)).min(1))
+    keys = np.arange(1, bands + 1, dtype=np.uint64)
+    for part in least.reshape(bands, rows).T:
+        keys = (keys ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64).tolist()
+
+
+def resemblance(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays without repeats; two empty ones are alike."""
+    if not len(a) and not len(b):
+        return 1.0
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common / (len(a) + len(b) - common)
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near copies: of every group of like texts the one with the least id stays.
+
+    Groups are components of links between texts whose shingle sets reach the similarity.  Null text is the empty
+    text, and texts without words are alike; among rows of equal text and id one stays; null ids come last.
+    """
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.withColumn("_copy_key", F.md5(whole.cast("binary")))
+    source = keyed.select("_copy_key", F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+
+    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(2).to_pylist()
+        prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+        bands = [band_keys(shingle_hashes(t, shingle)) for t in texts]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], names=["key", "id", "fp", "bands"])
+
+    id_kind = docs.schema[id_col].dataType.simpleString()
+    signed = map_batches(source, sign, f"key string, id {id_kind}, fp long, bands array<long>")
+    texts = saved(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "signatures")
+
+    prints = texts.groupBy("fp").agg(F.min("key").alias("hub"))
+    same = texts.join(prints, "fp").select("key", "hub")
+    linked = links(texts.select("fp").distinct(), distance)
+    near = linked.join(prints.select(F.col("fp").alias("a"), F.col("hub").alias("key")), "a").join(prints.select(F.col("fp").alias("b"), "hub"), "b").select("key", "hub")
+    banded = texts.select("key", F.explode("bands").alias("band"))
+    # a band's texts meet its first and its last one; bands differ in these, so that no text depends on one of them
+    hubs = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
+    met = banded.join(hubs, "band").select("key", F.explode(F.array("low", "high")).alias("hub"))
+    pairs = same.union(near).union(met).where("key <> hub")
+    pairs = saved(pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "copy-pairs")
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [shingle_hashes(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    asked = texts.join(ends, "key").select(F.col("key").alias("_copy_key"), F.col("id").alias("_of"))
+    # one row for each text that takes part in a pair
+    members = source.join(asked, "_copy_key").where(F.col("id").eqNullSafe(F.col("_of"))).select("_copy_key", "text")
+    bags = saved(map_batches(members, sets, "key string, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+
+    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
+        read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
+        good = [resemblance(read(x), read(y)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    both = pairs.join(bags.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(bags.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    joined = components(map_batches(both.select("a", "b", "sa", "sb"), verify, "a string, b string"), "a", "b")
+    named = texts.select("key", "id").join(joined, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("component", "key").alias("component"))
+    first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
+    keepers = saved(named.groupBy("component").agg(first).select(F.col("first.key").alias("_copy_key"), F.col("first.id").alias("_copy_id"), F.lit(True).alias("_copy_kept")), "keepers")
+    left = keyed.withColumn("_copy_id", F.col(id_col))
+    kept = left.join(keepers, (left["_copy_key"] == keepers["_copy_key"]) & left["_copy_id"].eqNullSafe(keepers["_copy_id"])).drop(keepers["_copy_key"]).drop(keepers["_copy_id"])
+    one = F.row_number().over(Window.partitionBy("_copy_key", "_copy_id").orderBy("_copy_kept"))
+    return kept.withColumn("_copy_no", one).where("_copy_no = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -226,3 +226,16 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
     return map_batches(docs.select(*kept, F.coalesce(F.col(text_col), F.lit("")).alias("_text")), rows, f"{schema}, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m = shared.value
+        voters = Voters(m.lexicon)
+        return batch.filter(pa.array([m.score(voters, t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return map_batches(docs, rows, docs.schema)

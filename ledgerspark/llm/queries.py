@@ -89,6 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
         "op1_bpe_codec": op1_bpe_codec_query,
         "op2_pitman_yor_scores": op2_pitman_yor_scores,
         "op3_media_columns": op3_media_columns,
