@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import map_batches, text_bytes
 
-CAPACITY, OPEN, GROUP = 4096, 4096, 16_384
+CAPACITY, OPEN, GROUP = 4096, 32_768, 16_384
 
 
 class BestFit:
