@@ -5,8 +5,11 @@ import decimal
 import duckdb
 import pytest
 
-from ledgerspark.plans.oracle import ORACLE
-from ledgerspark.plans.queries import QUERIES
+from ledgerspark.plans.more_queries import ALL as QUERIES
+from ledgerspark.plans.more_queries import MORE_SQL
+from ledgerspark.plans.oracle import ORACLE as FIRST_SQL
+
+ORACLE = FIRST_SQL | MORE_SQL
 
 
 def norm(v):
