@@ -22,16 +22,15 @@ def test_registry(spark):
     assert set(made) == set(extensions.InvoicePack.tables) and made["invoices"].count() == 5
 
 
-def answer(ids):
-    # the first round leaves one item empty and one breaks a rule; the second only the latter
-    out = []
-    for i in ids:
-        name, turn = i.split("#r")
-        out.append("" if name == "b" and turn == "0" else "write to me@x.org" if name == "c" else f"Steel bracket {name}")
-    return out
-
-
 def test_fill(spark):
+    def answer(ids):
+        # the first round leaves one item empty and one breaks a rule; the second only the latter
+        out = []
+        for i in ids:
+            name, turn = i.split("#r")
+            out.append("" if name == "b" and turn == "0" else "write to me@x.org" if name == "c" else f"Steel bracket {name}")
+        return out
+
     rows = spark.createDataFrame([(k, f"plain {k}") for k in "abc"], "item_id string, description string")
     done, left = extensions.fill(rows, answer, rounds=2)
     assert left == 1
