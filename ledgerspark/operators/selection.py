@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import hash52
 
-# Presets of wear, business types that sell goods, types and conditions that exclude each other.
+# Presets of wear; the vocabulary of business types, those of the procedural catalogue, those that ship goods
+# and those that were never on paper; capture conditions.
 WEAR = {"crisp": (0.0, 0.25), "varied": (0.35, 1.0), "worn": (1.0, 1.0)}
 BUSINESS_TYPES = ["retail", "wholesale", "auto_repair", "b2b_saas", "accounting", "ai_platform", "telecom", "legal", "consulting", "marketing_agency"]
-GOODS = ["retail", "wholesale", "auto_repair"]
+KNOWN_TYPES = ["retail", "ecommerce", "grocery", "wholesale", "manufacturing", "pharmacy", "restaurant", "hospitality", "event_services", "auto_repair", "home_services", "construction", "equipment_rental", "facilities", "medical_clinic", "dental", "veterinary", "therapy", "legal", "accounting", "consulting", "marketing_agency", "staffing", "education", "b2b_saas", "ai_platform", "cloud_infra", "telecom", "utilities", "insurance", "lending", "wealth_management", "payments", "logistics", "freight", "fitness", "media_subscription"]
+GOODS = ["retail", "ecommerce", "grocery", "wholesale", "manufacturing", "pharmacy"]
 DIGITAL_NATIVE = ["b2b_saas", "ai_platform"]
-CONDITIONS = ["clean", "scanned", "photographed", "handwritten"]
+CONDITIONS = ["clean", "light_scan", "heavy_scan", "handwritten"]
 
 
 class UnsupportedConstraint(ValueError):
@@ -51,7 +53,7 @@ class Selection:
                 raise UnsupportedConstraint("dates run backwards")
         templates = spec.get("templates", ())
         out = cls(many(spec.get("companies")), many(spec.get("locales")), many(spec.get("business_types")), many(spec.get("conditions")), bool(spec.get("goods_receipts")), span, days, templates if isinstance(templates, int) else many(templates))
-        for got, known, what in ((out.business_types, BUSINESS_TYPES, "business type"), (out.conditions, CONDITIONS, "condition")):
+        for got, known, what in ((out.business_types, KNOWN_TYPES, "business type"), (out.conditions, CONDITIONS, "condition")):
             if bad := sorted(set(got) - set(known)):
                 raise UnsupportedConstraint(f"unknown {what} {', '.join(bad)}; known: {', '.join(known)}")
         if out.goods_receipts and out.business_types and not set(out.business_types) & set(GOODS):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACCENTED, DIGITS, EMAIL, ENTITY, MARKETING, MARKUP, PERSON, PLAIN, PREAMBLE, RESERVED, URL
+from ..functions.text import ACCENTED, DIGITS, EMAIL, ENTITY, MARKETING, MARKUP, PERSON, PLAIN, PREAMBLE, SAFE_DOMAINS, URL
 from ..operators.catalogue import MARKETS, PRICE_BANDS, SLOTS
 from ..operators.golden import BANDS, JURISDICTIONS, LINE_ORDER, MODELS
 from ..operators.routing import MIX
@@ -79,12 +79,13 @@ NORMAL = f"trim(regexp_replace(translate(lower(coalesce({{0}}, '')), {q(ACCENTED
 
 def _found(table: str, key: str, text: str) -> str:
     s = STRIP.format(text)
+    safe = " OR ".join(f"contains(lower(m), {q(d)})" for d in SAFE_DOMAINS)
     rule = lambda test, name: f"CASE WHEN {test} THEN [{q(name)}] ELSE [] END"
     return f"""s AS (SELECT {key} AS k, {s} AS s FROM {table}),
 found AS (SELECT k, CASE WHEN s = '' THEN ['empty'] ELSE list_concat({rule('length(s) < 8', 'too_short')}, {rule('length(s) > 160', 'too_long')}, {rule(f"regexp_matches(s, {q(PREAMBLE)})", 'preamble')},
   {rule(f"regexp_matches(s, {q(MARKUP)})", 'markup')}, {rule("contains(s, chr(10))", 'multiline')}, {rule(f"regexp_matches(s, {q(MARKETING)})", 'marketing')},
   {rule(f"NOT regexp_matches(s, {q(MARKETING)}) AND length(s) > 90 AND contains(s, ' ')", 'prose')},
-  list_transform(list_filter(regexp_extract_all(s, {q(EMAIL)}), lambda m: NOT regexp_matches(m, {q(RESERVED)})), lambda m: 'pii_email'), list_transform(regexp_extract_all(s, {q(URL)}), lambda m: 'pii_url'),
+  list_transform(list_filter(regexp_extract_all(s, {q(EMAIL)}), lambda m: NOT ({safe})), lambda m: 'pii_email'), list_transform(list_filter(regexp_extract_all(s, {q(URL)}), lambda m: NOT ({safe})), lambda m: 'pii_url'),
   {rule(f"regexp_matches(s, {q(DIGITS)})", 'pii_digits')}, {rule(f"regexp_matches(s, {q(ENTITY)})", 'entity_name')}, {rule(f"regexp_matches(s, {q(PERSON)})", 'personal_name')}, {rule("contains(lower(s), 'lorem ipsum')", 'placeholder')}) END AS rules FROM s)"""
 
 
@@ -146,7 +147,7 @@ ORACLE = {
     "evaluation_row_precision_recall": f"""WITH {LINES}, e AS (SELECT invoice_index, line_no, cents + (CASE WHEN {h('wrong', 'invoice_index', 'line_no')} % 20 = 0 THEN 1 ELSE 0 END) AS cents FROM lines WHERE {h('lost', 'invoice_index', 'line_no')} % 25 <> 0
       UNION ALL SELECT invoice_index, line_no + 1000, cents FROM lines WHERE {h('made up', 'invoice_index', 'line_no')} % 40 = 0)
       SELECT count(*) FILTER (l.cents = e.cents) AS true_positives, count(*) FILTER (e.cents IS NOT NULL AND l.cents IS DISTINCT FROM e.cents) AS false_positives, count(*) FILTER (l.cents IS NOT NULL AND l.cents IS DISTINCT FROM e.cents) AS false_negatives FROM lines l FULL JOIN e USING (invoice_index, line_no)""",
-    "selection_compose": f"WITH {COMPANIES} SELECT company_id, business_type, locale FROM firms WHERE locale IN ('en-US', 'fr-FR', 'en-CA') AND business_type IN ('retail', 'wholesale', 'auto_repair') AND business_type <> 'telecom'",
+    "selection_compose": f"WITH {COMPANIES} SELECT company_id, business_type, locale FROM firms WHERE locale IN ('en-US', 'fr-FR', 'en-CA') AND business_type IN ('retail', 'wholesale') AND business_type <> 'telecom'",
     "selection_unknown_ids": f"WITH {COMPANIES} SELECT id FROM (VALUES ('c000001'), ('c000002'), ('nobody'), ('c999999')) w(id) WHERE id NOT IN (SELECT company_id FROM firms)",
     "subset_n_of": f"WITH {COMPANIES} SELECT company_id FROM firms ORDER BY {h('subset', 'company_id')}, company_id LIMIT 25",
     "weighted_cdf_draw": f"WITH w AS (SELECT c_custkey, CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) + 1 AS weight FROM customer), r AS (SELECT c_custkey, weight, sum(weight) OVER (ORDER BY c_custkey) - weight AS lo, sum(weight) OVER (ORDER BY c_custkey) AS hi, sum(weight) OVER () AS total FROM w), p AS (SELECT o_orderkey, {h('company', 'o_orderkey')} % (SELECT max(total) FROM r) AS point FROM orders) SELECT o_orderkey, c_custkey FROM p JOIN r ON point >= lo AND point < hi",

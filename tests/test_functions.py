@@ -66,7 +66,7 @@ def test_graduated_and_volume_tiers(spark):
 @pytest.mark.parametrize(
     "value,rules",
     [("", ["empty"]), ("  \n", ["empty"]), ("bolt", ["too_short"]), ("x" * 161, ["too_long"]), ("Sure, here it is", ["preamble"]), ("- steel bolts", ["markup"]), ("steel\nbolts", ["multiline"]),
-     ("write to a@b.org or c@d.org", ["pii_email", "pii_email"]), ("mail me@example.com now", []), ("see https://x.io/abc", ["pii_url"]), ("call 555-123-4567 x", ["pii_digits"]), ("Acme Ltd brackets", ["entity_name"]), ("for Mr Smith only", ["personal_name"]), ("Lorem Ipsum dolor", ["placeholder"]), ("Galvanised steel bracket 40 mm", [])],
+     ("write to a@b.org or c@d.org", ["pii_email", "pii_email"]), ("mail me@example.com now", []), ("see https://x.io/abc", ["pii_url"]), ("see https://a.example.org/b", []), ("Ensures a tight fit", ["marketing"]), ("Here's a steel bolt", ["preamble"]), ("Découvrez la vis", ["marketing"]), ("call 555-123-4567 x", ["pii_digits"]), ("Acme Ltd brackets", ["entity_name"]), ("for Mr Smith only", ["personal_name"]), ("Lorem Ipsum dolor", ["placeholder"]), ("Galvanised steel bracket 40 mm", [])],
 )
 def test_gates(spark, value, rules):
     assert one(spark, text.findings(F.lit(value))) == rules
