@@ -35,7 +35,6 @@ from .common import crc_bucket, map_batches
 SAMPLE = 20_000
 #: Lexicon voters, at most; lengths of word beginnings.
 VOTERS, BEGINNINGS = 400, (4, 5, 6, 8)
-# A word beginning that continues another voter adds nothing and is left out.
 #: A word beginning needs this share of the toxic rows (and this many of them at least), and this precision.
 SUPPORT, LEAST, PRECISION = 0.01, 4, 0.95
 THRESHOLD = 0.7
@@ -110,7 +109,7 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.n
     return odds, silent, post
 
 
-def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> tuple[np.ndarray, float]:
+def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.005, rounds: int = 40) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by Newton steps: (weights, intercept)."""
     x = np.hstack([votes.astype(np.float64), np.ones((len(votes), 1))])
     w = np.zeros(x.shape[1])
@@ -189,7 +188,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
         if hits[w] / (hits[w] + clean.get(i, 0)) >= PRECISION:
             rated.append((-(on - off), w))
     good = {w for _, w in rated}
-    lexicon = [w for _, w in sorted(rated) if not any(w[:n] in good for n in BEGINNINGS if n < len(w))][:VOTERS]
+    chosen: dict[str, float] = {}
+    for worth, w in rated:
+        if not any(w[:n] in good for n in BEGINNINGS if n < len(w)):
+            # as specific as it gets without losing rows: a longer beginning that is in as good as all the same rows
+            longest = max((v for v in good if v.startswith(w) and hits[v] >= 0.98 * hits[w]), key=lambda v: (len(v), v))
+            chosen[longest] = worth
+    lexicon = sorted(chosen, key=lambda w: (chosen[w], w))[:VOTERS]
     if not lexicon:
         return empty
     words = docs.sparkSession.sparkContext.broadcast(lexicon)
