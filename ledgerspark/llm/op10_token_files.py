@@ -33,6 +33,8 @@ MARK = b"rAN1"
 
 def shared_frequencies(symbols: np.ndarray, counts: np.ndarray, precision: int = PRECISION) -> np.ndarray:
     """Slots of every symbol (ascending), in proportion to its count, one at least, ``2**precision`` together."""
+    if not len(symbols):
+        return np.empty(0, np.int64)
     total = int(counts.sum())
     slots = np.maximum(1, (counts.astype(object) * (1 << precision) // max(1, total)).astype(np.int64))
     if len(slots) > 1 << precision:
@@ -65,9 +67,12 @@ class Coder:
         count = -(-len(ids) // BLOCK)
         if not count:
             return HEAD.pack(MARK, 0, 0)
-        steps = BLOCK // LANES if count > 1 else -(-len(ids) // LANES)
-        room = np.full(count * steps * LANES, self.filler, np.int64)
-        room[: len(ids)] = ids
+        size = -(-len(ids) // count)  # blocks of a frame are alike but for the last one
+        steps = -(-size // LANES)
+        room = np.full((count, steps * LANES), self.filler, np.int64)
+        for b in range(count):
+            part = ids[b * size : (b + 1) * size]
+            room[b, : len(part)] = part
         room = room.reshape(count, steps, LANES)
         state = np.full((count, LANES), LOW, np.uint64)
         words = np.empty((steps, count, LANES), np.uint32)
@@ -84,8 +89,8 @@ class Coder:
             state = (q << np.uint64(PRECISION)) + (state - q * f) + self.first[s]
         parts = [words[:, b][sent[:, b]] for b in range(count)]
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        sizes = np.diff(np.append(np.arange(count) * BLOCK, len(ids)))
-        sums = [zlib.crc32(ids[b * BLOCK : b * BLOCK + n].astype("<u4")) for b, n in enumerate(sizes.tolist())]
+        sizes = np.diff(np.append(np.arange(count) * size, len(ids)))
+        sums = [zlib.crc32(ids[b * size : b * size + n].astype("<u4")) for b, n in enumerate(sizes.tolist())]
         index = np.array([offsets[:-1], sizes, sums], "<u8").T
         return b"".join([HEAD.pack(MARK, count, int(offsets[-1])), index.tobytes(), state.astype("<u8").tobytes(), np.concatenate(parts).astype("<u4").tobytes()])
 
@@ -101,7 +106,7 @@ class Coder:
         state = np.frombuffer(frame, "<u8", count * LANES, at).reshape(count, LANES).astype(np.uint64)
         words = np.append(np.frombuffer(frame, "<u4", total, at + 8 * LANES * count), np.uint32(0)).astype(np.uint64)
         sizes, place = index[:, 1], index[:, :1].copy()
-        steps = -(-int(sizes.max()) // LANES) if count == 1 else BLOCK // LANES
+        steps = -(-int(sizes.max()) // LANES)
         out = np.empty((count, steps, LANES), np.int32)
         mask = np.uint64((1 << PRECISION) - 1)
         for step in range(steps):
@@ -114,6 +119,8 @@ class Coder:
             word = words[np.minimum(place + near - 1, total)]
             state = np.where(short, (state << np.uint64(32)) | word, state)
             place += near[:, -1:]
+        if (state != LOW).any() or (place[:, 0] != np.append(index[1:, 0], total)).any():
+            raise ValueError("the coders do not end where they began")
         flat = out.reshape(count, -1)
         ids = np.concatenate([flat[b, :n] for b, n in enumerate(sizes.tolist())])
         for b, n in enumerate(sizes.tolist()):
