@@ -69,9 +69,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
     counts = whole.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
     shards, blocks = max(1, -(-counts.n // shard)), max(1, -(-counts.q // query_block))
     row = F.xxhash64("id", F.monotonically_increasing_id())
-    side = lambda p, frame, at, parts, other, others: frame.select(
-        F.col("dim").alias(f"{p}_dim"), F.col("id").alias(f"{p}_id"), F.col("v").alias(f"{p}_v"), F.pmod(row, F.lit(parts)).cast("int").alias(f"{p}_{at}"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(f"{p}_{other}")
-    )
+    def side(p: str, frame: DataFrame, at: str, parts: int, other: str, others: int) -> DataFrame:
+        # a row's own place is settled before the row is copied to its partners' places
+        placed = frame.select(F.col("dim").alias(f"{p}_dim"), F.col("id").alias(f"{p}_id"), F.col("v").alias(f"{p}_v"), F.pmod(row, F.lit(parts)).cast("int").alias(f"{p}_{at}"))
+        return placed.withColumn(f"{p}_{other}", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
     candidates = side("c", whole, "shard", shards, "block", blocks)
     asked = side("q", whole.where("asks"), "block", blocks, "shard", shards)
 
