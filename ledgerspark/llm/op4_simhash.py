@@ -326,9 +326,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     linked = links(texts.select("fp").distinct(), distance)
     near = linked.join(prints.select(F.col("fp").alias("a"), F.col("hub").alias("key")), "a").join(prints.select(F.col("fp").alias("b"), "hub"), "b").select("key", "hub")
     banded = texts.select("key", F.explode("bands").alias("band"))
-    # a band's texts meet its first and its last one; bands differ in these, so that no text depends on one of them
-    hubs = banded.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high")
-    met = banded.join(hubs, "band").select("key", F.explode(F.array("low", "high")).alias("hub"))
+    # a band's texts meet four of them, its ends in two orders that do not depend on each other
+    mixed = F.xxhash64("key")
+    ends = [F.min("key").alias("h1"), F.max("key").alias("h2"), F.min_by("key", mixed).alias("h3"), F.max_by("key", mixed).alias("h4")]
+    hubs = banded.groupBy("band").agg(*ends).where("h1 <> h2")
+    met = banded.join(hubs, "band").select("key", F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("hub"))
     pairs = same.union(near).union(met).where("key <> hub")
     pairs = saved(pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "copy-pairs")
 
