@@ -256,6 +256,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
 # candidates from bands of least shingle hashes, and every candidate is verified on whole shingle sets.
 
 BANDS, BAND_ROWS = 20, 3
+#: Texts and shingles in a block of a band that is compared with others as a whole, and columns of its matrices.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
+#: Texts above which a band meets the text in the middle of it before all its pairs are compared.
+CENTRED = 64
 
 
 def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
@@ -301,6 +305,109 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with a < b of (key, hub)."""
+    return pairs.where("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+
+
+def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """(a, b, alike): the similarity of every pair."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
+        alike = [resemblance(read(x), read(y)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.float64())], names=["a", "b", "alike"])
+
+    both = pairs.join(bags.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(bags.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
+    return saved(map_batches(both.select("a", "b", "sa", "sb"), run, "a string, b string, alike double"), "compared")
+
+
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of keys as pairs of their components."""
+    of = lambda c: classes.select(F.col("key").alias(c), F.col("component").alias(f"of_{c}"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+
+
+def _merged(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(key, component) after links (a, b) between components."""
+    joined = components(found, "a", "b").withColumnRenamed("component", "least")
+    return saved(classes.join(joined, F.col("component") == F.col("node"), "left").select("key", F.coalesce("least", "component").alias("component")), "copy-classes")
+
+
+def _open_members(rest: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of ``rest`` in bands that have more than one component, with component and the band's size.
+
+    Of bands with the same texts one stays.
+    """
+    rows = rest.join(classes, "key")
+    whole = rows.groupBy("band").agg(
+        F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("key")).alias("x"), F.sum(F.xxhash64(F.lit(1), "key").cast("decimal(38,0)")).alias("s")
+    )
+    one = whole.where("low <> high").groupBy("n", "shingles", "x", "s").agg(F.min("band").alias("band"))
+    return rows.join(one.select("band", "n", "shingles"), "band")
+
+
+def linked_rows(left: list[np.ndarray], right: list[np.ndarray] | None, similarity: float) -> np.ndarray:
+    """Whether each of ``left`` reaches the similarity with each of ``right`` (with those after it in ``left``, if None)."""
+    sets = left if right is None else left + right
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    word, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # what only one of them has is in no intersection
+    place = np.where(seen > 1, np.cumsum(seen > 1) - 1, -1)[number]
+    row = np.repeat(np.arange(len(sets)), size)[place >= 0]
+    place = place[place >= 0]
+    order = np.argsort(place, kind="stable")
+    row, place = row[order], place[order]
+    a, b = (slice(None), slice(None)) if right is None else (slice(len(left)), slice(len(left), None))
+    common = np.zeros((len(left), len(sets) if right is None else len(right)))
+    for low in range(0, int(place[-1]) + 1 if len(place) else 0, COLUMNS):
+        i, j = np.searchsorted(place, [low, low + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, int(place[-1]) + 1 - low)), np.float32)
+        held[row[i:j], place[i:j] - low] = 1
+        common += held[a] @ held[b].T
+    good = common / (size[a][:, None] + size[b][None, :] - common) >= similarity
+    return np.triu(good, 1) if right is None else good
+
+
+def _all_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components, from all pairs of each band's ``members``.
+
+    Large bands are cut into blocks, and every two blocks are compared by themselves, so that no task has a band as a
+    whole.  Two blocks yield as many links as join what they join, not one for each pair.
+    """
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1))
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key", F.lit(2)), "blocks"))
+    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = paired.select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "key", "component")
+    # two blocks of one component are joined already
+    mixed = units.groupBy("band", "i", "j").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "i", "j")
+    rows = units.join(mixed, ["band", "i", "j"]).join(bags, "key").select("band", "i", "j", "block", "component", "shingles")
+
+    def run(table: pa.Table) -> pa.Table:
+        block, component = table.column("block").to_numpy(), np.array(table.column("component").to_pylist(), object)
+        sets = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
+        first, last = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        at, to = np.flatnonzero(block == first), np.flatnonzero(block == last)
+        out = []
+        if len(at) and len(to):
+            good = linked_rows([sets[k] for k in at], None if first == last else [sets[k] for k in to], similarity)
+            root: dict[str, str] = {}
+
+            def find(x: str) -> str:
+                while (y := root.get(x, x)) != x:
+                    root[x] = x = root.get(y, y)
+                return x
+
+            for x, y in {(component[at[p]], component[to[q]]) for p, q in zip(*np.nonzero(good), strict=True)}:
+                u, v = find(x), find(y)
+                if u != v:
+                    root[u] = v
+                    out.append((x, y))
+        return pa.table([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["a", "b"])
+
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a string, b string")
+
+
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every group of like texts the one with the least id stays.
 
@@ -314,25 +421,25 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(2).to_pylist()
         prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        bands = [band_keys(shingle_hashes(t, shingle)) for t in texts]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), pa.array(bands, pa.list_(pa.int64()))], names=["key", "id", "fp", "bands"])
+        sets = [shingle_hashes(t, shingle) for t in texts]
+        size = pa.array([len(x) for x in sets], pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), size, pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["key", "id", "fp", "size", "bands"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    signed = map_batches(source, sign, f"key string, id {id_kind}, fp long, bands array<long>")
-    texts = saved(signed.groupBy("key").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "signatures")
+    signed = map_batches(source, sign, f"key string, id {id_kind}, fp long, size long, bands array<long>")
+    texts = saved(signed.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "signatures")
 
     prints = texts.groupBy("fp").agg(F.min("key").alias("hub"))
     same = texts.join(prints, "fp").select("key", "hub")
     linked = links(texts.select("fp").distinct(), distance)
     near = linked.join(prints.select(F.col("fp").alias("a"), F.col("hub").alias("key")), "a").join(prints.select(F.col("fp").alias("b"), "hub"), "b").select("key", "hub")
-    banded = texts.select("key", F.explode("bands").alias("band"))
-    # a band's texts meet four of them, its ends in two orders that do not depend on each other
+    banded = texts.select("key", "size", F.explode("bands").alias("band"))
+    # first a band's texts meet four of them, its ends in two orders that do not depend on each other
     mixed = F.xxhash64("key")
-    ends = [F.min("key").alias("h1"), F.max("key").alias("h2"), F.min_by("key", mixed).alias("h3"), F.max_by("key", mixed).alias("h4")]
-    hubs = banded.groupBy("band").agg(*ends).where("h1 <> h2")
-    met = banded.join(hubs, "band").select("key", F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("hub"))
-    pairs = same.union(near).union(met).where("key <> hub")
-    pairs = saved(pairs.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct(), "copy-pairs")
+    ends = F.array_distinct(F.array(F.min("key"), F.max("key"), F.min_by("key", mixed), F.max_by("key", mixed)))
+    hubs = banded.groupBy("band").agg(ends.alias("hubs")).where(F.size("hubs") > 1)
+    met = banded.join(hubs, "band").select("key", F.explode("hubs").alias("hub"))
+    pairs = saved(_ordered(same.union(near).union(met)), "copy-pairs")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [shingle_hashes(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
@@ -344,14 +451,22 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     members = source.join(asked, "_copy_key").where(F.col("id").eqNullSafe(F.col("_of"))).select("_copy_key", "text")
     bags = saved(map_batches(members, sets, "key string, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        read = lambda x: np.frombuffer(x.as_buffer(), "<u8")
-        good = [resemblance(read(x), read(y)) >= similarity for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        return pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    both = pairs.join(bags.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(bags.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    joined = components(map_batches(both.select("a", "b", "sa", "sb"), verify, "a string, b string"), "a", "b")
-    named = texts.select("key", "id").join(joined, F.col("key") == F.col("node"), "left").select("key", "id", F.coalesce("component", "key").alias("component"))
+    alike = _compared(pairs, bags)
+    good = F.col("alike") >= similarity
+    classes = _merged(texts.select("key", F.col("key").alias("component")), alike.where(good))
+    # all that a band has besides these four
+    rest = saved(banded.join(hubs, "band").where(~F.array_contains("hubs", F.col("key"))).select("band", "key", "size", "hubs"), "band-rests")
+    large = saved(_open_members(rest, classes).where(F.col("n") > CENTRED), "large-bands")
+    if not large.isEmpty():
+        # the text most like a large band's four stands near the middle of it: often one more meeting joins them all
+        to_hub = large.select("band", "key", F.explode("hubs").alias("hub")).select("band", "key", F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b"))
+        likeness = to_hub.join(alike, ["a", "b"]).groupBy("band", "key").agg(F.sum("alike").alias("alike"))
+        centre = likeness.groupBy("band").agg(F.max_by("key", F.struct("alike", "key")).alias("hub"))
+        more = _ordered(large.join(centre, "band").select("key", "hub"))
+        classes = _merged(classes, _between(_compared(more, bags).where(good), classes))
+    # then all of a band that are not known to be joined meet each other
+    classes = _merged(classes, _all_pairs(_open_members(rest, classes), bags, similarity))
+    named = texts.select("key", "id").join(classes, "key")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
     keepers = saved(named.groupBy("component").agg(first).select(F.col("first.key").alias("_copy_key"), F.col("first.id").alias("_copy_id"), F.lit(True).alias("_copy_kept")), "keepers")
     left = keyed.withColumn("_copy_id", F.col(id_col))

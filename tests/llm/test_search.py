@@ -123,6 +123,50 @@ def test_near_copies_go(spark):
     assert op4_simhash.drop_near_copies(docs.where("false")).collect() == []
 
 
+def kept_by_brute_force(texts):
+    """Least numbers of the components of all pairs of texts whose shingle sets reach 0.8."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    number = {}
+    rows = [[number.setdefault(x, len(number)) for x in s] for s in sets]
+    held = np.zeros((len(sets), len(number)), np.float32)
+    for i, r in enumerate(rows):
+        held[i, r] = 1
+    common, size = held @ held.T, held.sum(1)
+    least = np.arange(len(sets))
+    near = common / (size[:, None] + size[None, :] - common) >= 0.8
+    while True:
+        step = np.array([least[near[i]].min() for i in range(len(sets))])
+        if (step == least).all():
+            return sorted(set(least.tolist()))
+        least = step
+
+
+def star(rng, words, copies, edits):
+    """An original and copies, each with some words of its own in other places."""
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    base = [word() for _ in range(words)]
+    out = [" ".join(base)]
+    for _ in range(copies):
+        text = list(base)
+        for i in rng.sample(range(5, words - 5, 6), edits):
+            text[i] = word()
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("copies,block,centred", [(2000, 512, 64), (150, 32, 10**9), (150, 512, 10**9)])
+def test_an_original_and_its_copies_are_one_group(spark, monkeypatch, copies, block, centred):
+    monkeypatch.setattr(op4_simhash, "BLOCK", block)
+    monkeypatch.setattr(op4_simhash, "CENTRED", centred)
+    rng = random.Random(3)
+    # like the original to 0.82; below 0.8 with each other; the last ones are below 0.8 with the original, too
+    texts = star(rng, 205, copies, 4) + star(rng, 205, 20, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(r.doc_id for r in op4_simhash.drop_near_copies(docs).collect())
+    assert got == kept_by_brute_force(texts)
+    assert 0 in got and got[1] == copies + 1
+
+
 # -- top-k
 
 
