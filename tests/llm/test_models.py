@@ -38,6 +38,16 @@ def test_seating():
     assert abs((many == 2).mean() - 2 / 2.5) < 0.02
 
 
+@pytest.mark.parametrize("customers,opening,discount", [(1000, 2.0, 0.5), (1000, 100.0, 0.5), (10_000, 100.0, 0.9)])
+def test_groups_open_as_many_tables_as_customers_one_by_one(customers, opening, discount):
+    rng = np.random.default_rng(1)
+    t = np.ones(400, np.int64)
+    for n in range(1, customers):
+        t += rng.random(400) < opening / (opening + n - discount * t)
+    got = op2_hpylm.seat(np.full(400, customers), np.full(400, opening), discount, rng)
+    assert abs(got.mean() / t.mean() - 1) < 0.05
+
+
 def test_predictions_add_up():
     rng = np.random.default_rng(2)
     n_words, contexts = 40, op2_hpylm.CONTEXTS + 1
