@@ -1,7 +1,8 @@
 """Operator 7: best-fit packing of tokenised documents into sequences of bounded length.
 
-Bounded-space online best-fit: at most ``OPEN`` bins are open, kept in a bitset keyed by free space, so the tightest
-bin that still takes a piece is one bit scan away; when no bin fits and all are open, the fullest closes first.  Only
+Best-fit by falling length: open bins are kept in a bitset keyed by free space, so the tightest bin that still takes a
+piece is one bit scan away.  When no bin fits and ``OPEN`` are open, the fullest closes first; ``OPEN`` is above the pieces
+of a group, so that this does not happen in groups of about ``GROUP`` documents.  Only
 (id, piece, start, length, checksum) rows are dealt out, in groups of about ``GROUP`` documents by a hash; pieces of
 full length fill a sequence alone.  A group's pieces are fed by falling length, which leaves one poorly filled bin a
 group or so.
