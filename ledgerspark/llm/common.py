@@ -39,7 +39,34 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder and read it back, which cuts its lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._saved_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that ``saved`` wrote, once all that was made of them is written itself."""
+    for df in frames:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key is hot if it has more than this share of the rows, so there are fewer hot keys than one over it.
+HOT_SHARE = 1e-3
+
+
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str = "n") -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, which has one row for each key and the number of the key's rows.
+
+    Hot keys' groups, fewer than 1 / ``HOT_SHARE``, are broadcast, so that their rows stay where they are; the others are
+    joined as usual.  Keys are not null.  The count is dropped.
+    """
+    total = groups.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
+    least = max(1, int(total * HOT_SHARE))
+    hot, cold = groups.where(F.col(count_col) > least).drop(count_col), groups.where(F.col(count_col) <= least).drop(count_col)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
 
 
 def text_bytes(column: str | Column = "text") -> Column:

@@ -2,7 +2,10 @@
 
 Every round points each node at the least node known near it; rounds are written to the shared folder, so lineage
 stays short, and end when a round changes nothing.  No node's links are gathered in one place: minima are aggregated
-before they are joined back.
+before they are joined back, and those of nodes with many links are broadcast to where the links are.
+
+Cases: an empty table has no components; links of a node with itself and repeated links add nothing; links with a null
+end are dropped.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved, spread_join
 
 
 def _sum(edges: DataFrame) -> tuple[int, int]:
@@ -24,11 +27,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     state = _sum(edges)
     while state[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = saved(spread_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        lowest = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        small = spread_join(large, lowest, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, edges = edges, saved(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(old, least, large, lowest)
         before, state = state, _sum(edges)
         if state == before:
             break

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Tokenizer
-from .common import map_batches, saved, text_bytes
+from .common import discard, map_batches, saved, spread_join, text_bytes
 from .graph import components
 
 BITS, SEED = 64, 42
@@ -214,7 +214,7 @@ def links(nodes: DataFrame, distance: int = 2, bucket: int = BUCKET, plan: list[
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))
     if all(p.threshold == 0 for p in plan):
         sizes = sizes.where("n > 1")
-    hit = asked.join(sizes, ["part", "key"])
+    hit = spread_join(asked, saved(sizes.withColumn("rows", F.col("n")), "bucket-sizes"), ["part", "key"], "rows")
     cold = hit.where((F.col("n") <= bucket) & (~F.col("own") | (F.col("n") > 1)))
     other = index.withColumnRenamed("fp", "other")
     near = cold.join(other, ["part", "key"]).where((fp < F.col("other")) & (_differ(fp, F.col("other")) <= distance)).select(fp.alias("a"), F.col("other").alias("b"))
@@ -234,13 +234,14 @@ def links(nodes: DataFrame, distance: int = 2, bucket: int = BUCKET, plan: list[
 def near_components(prints: DataFrame, distance: int = 2, id_col: str = "doc_id") -> DataFrame:
     """(id, fp, component_id): the least id that is reachable over links, for every row of (id, fp)."""
     prints = saved(prints.select(id_col, "fp"), "fingerprints")
-    nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least_id")), "nodes")
+    nodes = saved(prints.groupBy("fp").agg(F.min(id_col).alias("least_id"), F.count("*").alias("n")), "nodes")
     joined = components(links(nodes.select("fp"), distance), "a", "b")
-    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(nodes["fp"], "least_id", F.coalesce("component", nodes["fp"]).alias("component"))
+    named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(nodes["fp"], "least_id", "n", F.coalesce("component", nodes["fp"]).alias("component"))
     named = saved(named, "classes")
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_print = named.join(least, "component").select("fp", "component_id")
-    return prints.join(of_print, "fp").select(id_col, "fp", "component_id")
+    least = saved(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
+    of_print = saved(spread_join(named, least, ["component"], "nodes").select("fp", "component_id", "n"), "print-classes")
+    discard(nodes, named, least)
+    return spread_join(prints, of_print, ["fp"]).select(id_col, "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,7 +320,7 @@ def _compared(pairs: DataFrame, bags: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(alike, pa.float64())], names=["a", "b", "alike"])
 
     both = pairs.join(bags.select(F.col("key").alias("a"), F.col("shingles").alias("sa")), "a").join(bags.select(F.col("key").alias("b"), F.col("shingles").alias("sb")), "b")
-    return saved(map_batches(both.select("a", "b", "sa", "sb"), run, "a string, b string, alike double"), "compared")
+    return saved(map_batches(both.select("a", "b", "sa", "sb"), run, "a binary, b binary, alike double"), "compared")
 
 
 def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -391,9 +392,9 @@ def _all_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFr
         out = []
         if len(at) and len(to):
             good = linked_rows([sets[k] for k in at], None if first == last else [sets[k] for k in to], similarity)
-            root: dict[str, str] = {}
+            root: dict[bytes, bytes] = {}
 
-            def find(x: str) -> str:
+            def find(x: bytes) -> bytes:
                 while (y := root.get(x, x)) != x:
                     root[x] = x = root.get(y, y)
                 return x
@@ -403,20 +404,22 @@ def _all_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFr
                 if u != v:
                     root[u] = v
                     out.append((x, y))
-        return pa.table([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["a", "b"])
+        return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
-    return rows.groupBy("band", "i", "j").applyInArrow(run, "a string, b string")
+    return rows.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without near copies: of every group of like texts the one with the least id stays.
 
     Groups are components of links between texts whose shingle sets reach the similarity.  Null text is the empty
-    text, and texts without words are alike; among rows of equal text and id one stays; null ids come last.
+    text, and texts without words are alike; texts of fewer words than a shingle are one shingle; among rows of equal
+    text and id one stays; null ids come last; an empty table gives an empty result; all columns are kept, whatever
+    their names.
     """
-    whole = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_copy_key", F.md5(whole.cast("binary")))
-    source = keyed.select("_copy_key", F.col(id_col).alias("id"), text_bytes(text_col).alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.unhex(F.md5(text_bytes(text_col))).alias("key"), F.col(id_col).alias("id"), row)
+    source = rows.select("key", "id", text_bytes(F.col("row")[text_col]).alias("text"))
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column(2).to_pylist()
@@ -426,7 +429,7 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), size, pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["key", "id", "fp", "size", "bands"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    signed = map_batches(source, sign, f"key string, id {id_kind}, fp long, size long, bands array<long>")
+    signed = map_batches(source, sign, f"key binary, id {id_kind}, fp long, size long, bands array<long>")
     texts = saved(signed.groupBy("key").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "size", "bands"))), "signatures")
 
     prints = texts.groupBy("fp").agg(F.min("key").alias("hub"))
@@ -446,10 +449,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
 
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    asked = texts.join(ends, "key").select(F.col("key").alias("_copy_key"), F.col("id").alias("_of"))
-    # one row for each text that takes part in a pair
-    members = source.join(asked, "_copy_key").where(F.col("id").eqNullSafe(F.col("_of"))).select("_copy_key", "text")
-    bags = saved(map_batches(members, sets, "key string, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
+    asked = texts.join(ends, "key").select("key", "id")
+    # one row for each text that takes part in a pair; copies of a text have other ids, so they are spread
+    same_row = (source["key"] == asked["key"]) & source["id"].eqNullSafe(asked["id"])
+    members = source.join(asked, same_row, "left_semi").select("key", "text")
+    bags = saved(map_batches(members, sets, "key binary, shingles binary").groupBy("key").agg(F.first("shingles").alias("shingles")), "shingle-sets")
 
     alike = _compared(pairs, bags)
     good = F.col("alike") >= similarity
@@ -468,8 +472,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     classes = _merged(classes, _all_pairs(_open_members(rest, classes), bags, similarity))
     named = texts.select("key", "id").join(classes, "key")
     first = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first")
-    keepers = saved(named.groupBy("component").agg(first).select(F.col("first.key").alias("_copy_key"), F.col("first.id").alias("_copy_id"), F.lit(True).alias("_copy_kept")), "keepers")
-    left = keyed.withColumn("_copy_id", F.col(id_col))
-    kept = left.join(keepers, (left["_copy_key"] == keepers["_copy_key"]) & left["_copy_id"].eqNullSafe(keepers["_copy_id"])).drop(keepers["_copy_key"]).drop(keepers["_copy_id"])
-    one = F.row_number().over(Window.partitionBy("_copy_key", "_copy_id").orderBy("_copy_kept"))
-    return kept.withColumn("_copy_no", one).where("_copy_no = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    place = [F.col("key"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), F.col("id").isNull().alias("unnamed")]
+    keepers = saved(named.groupBy("component").agg(first).select("first.key", "first.id").select(*place), "keepers")
+    discard(texts, pairs, bags, alike, classes, rest, large)
+    # repeated rows of one text and id are thinned where they are read
+    at = Window.partitionBy("key", "name", "unnamed").orderBy(F.lit(1))
+    one = rows.select(*place, "row").withColumn("no", F.row_number().over(at)).where("no = 1")
+    kept = one.join(keepers, ["key", "name", "unnamed"], "left_semi")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

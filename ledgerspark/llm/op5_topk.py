@@ -1,11 +1,12 @@
 """Operator 5: exact top-k search by tiled matrix products.
 
-Vectors become integers (``floor(scale * x)``), queries and candidates are dealt into blocks of bounded size, and a
-tile is one query block against one shard: its matrix product, then a partial selection per query that keeps every
+Vectors become integers (``floor(scale * x)``), queries and candidates are dealt into blocks of ``TILE_BYTES`` of vectors,
+so that a candidate is copied once for that many bytes of queries, and a tile is one query block against one shard: its
+matrix products, ``STEP`` queries by ``STEP`` candidates at a time, then a partial selection per query that keeps every
 candidate as good as the k-th.  The per-tile lists are merged as a tree, ``FAN`` shards at a time.
 
-Scores are exact: products are summed in doubles while they stay below 2**53, in Python integers beyond it (a score
-that no long can hold raises).  Ties go to the smaller id.
+Scores are exact: products are summed in doubles while they stay below 2**53, in Python integers beyond it.  A score
+among a tile's k best that no long can hold raises; those of a row with itself don't count.  Ties go to the smaller id.
 
 Cases: vectors that are null or hold a null or non-finite component take no part, nor do rows without an id; vectors
 are compared with those of their own length only; an empty vector scores 0 against other empty ones; repeated ids are
@@ -20,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK, SHARD, STEP, FAN = 2_048, 16_384, 2_048, 32
+#: Bytes of vectors in a query block or a shard, rows and columns of one matrix product, shards merged at once.
+TILE_BYTES, STEP, FAN = 32 << 20, 2_048, 32
+#: Candidates in a shard, at most.
+SHARD = 16_384
 
 
 def _matrix(vectors: pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -35,38 +39,46 @@ def tile_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     exact = not q.size or not c.size or float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53
     if not exact:
         q, c = (np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) for m in (q, c))
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    parts = [_block_top(q_ids[a : a + STEP], q[a : a + STEP], c_ids, c, k) for a in range(0, len(q_ids), STEP)]
+    ids, cand, score = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64),) * 3
+    if not exact and any(abs(x) >= 2**63 for x in score):
+        raise OverflowError("a score does not fit a long")
+    return ids, cand, score.astype(np.int64)
+
+
+def _block_top(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one block of queries, with scores as the product gives them."""
+    kept = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.result_type(q, c))
     for a in range(0, len(c_ids), STEP):
         ids = c_ids[a : a + STEP]
         scores = q @ c[a : a + STEP].T
-        if not exact and scores.size and max(abs(int(scores.max())), abs(int(scores.min()))) >= 2**63:
-            raise OverflowError("a score does not fit a long")
-        scores = scores.astype(np.int64)
         own = ids[None, :] == q_ids[:, None]
-        scores = np.where(own, np.iinfo(np.int64).min, scores)
+        scores[own] = -np.inf
+        good = ~own
         if len(ids) > k:
-            kth = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
-            good = (scores >= kth) & ~own
-        else:
-            good = ~own
+            good &= scores >= np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k, None]
         at, col = np.nonzero(good)
-        out.append((at, ids[col], scores[at, col]))
-        at, cand, score = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.lexsort((cand, -score, at))
+        at, cand, score = (np.concatenate(x) for x in zip(kept, (at, ids[col], scores[at, col]), strict=True))
+        order = np.lexsort((cand, _ranks(-score), at))
         at, cand, score = at[order], cand[order], score[order]
-        rank = np.arange(len(at)) - np.searchsorted(at, at)
-        out = [(at[rank < k], cand[rank < k], score[rank < k])]
-    if not out:
-        return (np.empty(0, np.int64),) * 3
-    return q_ids[out[0][0]], out[0][1], out[0][2]
+        best = np.arange(len(at)) - np.searchsorted(at, at) < k
+        kept = at[best], cand[best], score[best]
+    return q_ids[kept[0]], kept[1], kept[2]
+
+
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the values, which may be Python integers."""
+    return np.unique(values, return_inverse=True)[1] if values.dtype == object else values
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding", query_block: int | None = None, shard: int | None = None) -> DataFrame:
     """The k best candidates of every query row: (query_id, rank, id, score)."""
     x = F.col(vector_col)
     usable = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
     whole = vectors.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * scale).cast("double")).alias("v"), is_query.alias("asks")).withColumn("dim", F.size("v"))
-    counts = whole.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q")).first()
+    counts = whole.agg(F.count("*").alias("n"), F.count(F.when(F.col("asks"), 1)).alias("q"), F.coalesce(F.max("dim"), F.lit(0)).alias("dim")).first()
+    fit = max(1, TILE_BYTES // max(1, 8 * counts.dim))
+    query_block, shard = query_block or fit, shard or min(fit, SHARD)
     shards, blocks = max(1, -(-counts.n // shard)), max(1, -(-counts.q // query_block))
     row = F.xxhash64("id", F.monotonically_increasing_id())
     def side(p: str, frame: DataFrame, at: str, parts: int, other: str, others: int) -> DataFrame:

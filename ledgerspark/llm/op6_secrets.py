@@ -9,7 +9,7 @@ Spans are found natively: the text split by a rule's regex and the list of its m
 their lengths give the places.  Offsets are in code points, ends exclusive.
 
 Cases: null text is the empty text, which has no spans; an empty table gives an empty result; repeated rows and null
-ids are kept row by row; several kinds may cover the same place; other columns are ignored, whatever their names.
+ids are kept row by row; several kinds may cover the same place; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Alternatives that are followed while a regex is read; beyond it the strings read so far are kept as they are.
 ALTERNATIVES = 32
+#: Words of the bitmap of candidate keys: 8 MB of bits.
+FILTER_WORDS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -118,21 +120,39 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus ``secret_spans``: array of (start, rank, end, kind), by start, then rule."""
-    key, text, kinds = "_secret_key", F.col("_secret_text"), F.col("_secret_kinds")
-    keyed = docs.withColumn("_secret_text", F.coalesce(F.col(text_col), F.lit("")))
-    keyed = keyed.withColumn(key, F.xxhash64(*(c for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map"))))
-    texts = keyed.select(key, "_secret_text")
+def _none() -> Column:
+    return F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
+
+
+def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFrame:
+    """(row, spans) of every row: the row as one struct, so that no helper can clash with its columns."""
+    row, kinds = F.col("row"), F.col("kinds")
+    text = F.coalesce(row[text_col], F.lit(""))
+    plain = [c for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("key", F.xxhash64(*(row[c] for c in plain)))
     indexed = tuple(r for r in rules if trigram_query(r.regex) is not None)
-    found = candidates(texts, indexed, key, "_secret_text").withColumnRenamed("kinds", "_secret_kinds")
-    joined = keyed.join(found, key, "left")
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
+    found = candidates(keyed.select("key", text.alias("text")), indexed, "key", "text")
+    # a bitmap of the candidates' keys, at most FILTER_WORDS rows: rows that it rules out need not meet the index
+    place, bit = F.pmod(F.col("key"), F.lit(FILTER_WORDS)), F.shiftrightunsigned("key", 58).cast("int")
+    words = found.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
+    asked = keyed.withColumn("place", place).join(F.broadcast(words), "place", "left")
+    may = F.coalesce(F.call_function("shiftright", F.col("bits"), bit).bitwiseAND(F.lit(1).cast("long")) == 1, F.lit(False))
+    met = asked.where(may).select("key", "row").join(found, "key", "left").select("row", "kinds")
+    every = met.union(asked.where(~may).select("row", F.lit(None).cast("array<string>").alias("kinds")))
+    spans = []
     for rank, rule in enumerate(rules):
-        wanted = F.array_contains(F.coalesce(kinds, F.expr("cast(array() as array<string>)")), rule.kind) if rule in indexed else F.lit(True)
-        joined = joined.withColumn(f"_secret_{rank}", F.when(wanted & F.rlike(text, F.lit(rule.regex)), spans_of(rule, rank, text)).otherwise(none))
-    every = F.array_sort(F.concat(*(F.col(f"_secret_{i}") for i in range(len(rules)))))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), every.alias("secret_spans"))
+        wanted = F.coalesce(F.array_contains(kinds, rule.kind), F.lit(False)) if rule in indexed else F.lit(True)
+        spans.append(F.when(wanted & F.rlike(text, F.lit(rule.regex)), spans_of(rule, rank, text)).otherwise(_none()))
+    return every.select("row", *(s.alias(f"of_{i}") for i, s in enumerate(spans))).select("row", F.array_sort(F.concat(*(F.col(f"of_{i}") for i in range(len(rules))))).alias("spans"))
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text", spans_col: str = "secret_spans") -> DataFrame:
+    """All columns of ``docs`` plus ``spans_col``: array of (start, rank, end, kind), by start, then rule.
+
+    A column of that name in ``docs`` gives way to the spans.
+    """
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c != spans_col]
+    return _scanned(docs, rules, text_col).select(*kept, F.col("spans").alias(spans_col))
 
 
 def report(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rule, ...] = BASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,17 +166,18 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, base: tuple[R
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """Documents with every secret replaced by a mark (spans that overlap share one)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Documents with every secret replaced by a mark (spans that overlap share one); other columns stay as they are."""
+    row, spans = F.col("row"), F.col("spans")
+    text = F.coalesce(row[text_col], F.lit(""))
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
 
     def step(acc: Column, s: Column) -> Column:
         gap = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["done"]).otherwise(gap).alias("done"))
 
-    clean = F.aggregate(F.col("secret_spans"), first, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
-    found = find_secrets(docs, rules, text_col)
-    return found.withColumn(text_col, F.when(F.size("secret_spans") > 0, clean).otherwise(F.col(text_col))).drop("secret_spans")
+    clean = F.aggregate(spans, first, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.length(text))))
+    masked = F.when(F.size(spans) > 0, clean).otherwise(row[text_col])
+    return _scanned(docs, rules, text_col).select(*(masked.alias(c) if c == text_col else row[c].alias(c) for c in docs.columns))
 
 
 def oracle(rules: tuple[Rule, ...] = BASE + MORE, base: tuple[Rule, ...] = BASE) -> str:

@@ -1,9 +1,10 @@
 """Operator 9: token counts by a map-side two-tier lookup.
 
-First pass, over all texts: every task keeps a bounded list of its heaviest pieces, the lists are summed, and the
-heaviest pieces of the corpus become a compact table (hash, length) of at most ``TABLE`` entries, which is broadcast.
-Second pass: pieces found in the table get their length from it, the others are encoded through the worker's cache.
-Pieces themselves are never shuffled, only the bounded lists.  What the table holds changes speed, never a count.
+First pass, over all texts: every task keeps one bounded list of its heaviest pieces, a single row; the rows are merged
+as a tree, ``FAN`` lists at a time, each merge as bounded as a list.  The heaviest pieces of the corpus become a compact
+table (hash, length) of at most ``TABLE`` entries, which is broadcast.  Second pass: pieces found in the table get their
+length from it, the others are encoded through the worker's cache.  No piece is a key of a shuffle.  What the table holds
+changes speed, never a count.
 
 Cases: null text is the empty text (0 bytes, 0 tokens); an empty table gives an empty result; repeated rows and null
 ids are kept row by row; other columns are ignored, whatever their names.
@@ -11,12 +12,12 @@ ids are kept row by row; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import bpe
 from .common import map_batches, text_bytes
@@ -25,6 +26,8 @@ from .common import map_batches, text_bytes
 TABLE = 32_768
 #: Pieces that one task reports, and their greatest length.
 REPORTED, LONGEST = 4_096, 64
+#: Lists that one task merges.
+FAN = 64
 
 
 class Heavy:
@@ -69,12 +72,38 @@ def frequent_pieces(docs: DataFrame, path: str, text_col: str = "text", table: i
                 pieces = np.empty(len(short), object)
                 pieces[:] = [raw[i : i + n] for i, n in zip(f, s, strict=True)]
                 heavy.add(uniq[short], counts[short], pieces)
-        pieces, counts = heavy.top()
-        yield pa.RecordBatch.from_arrays([pa.array(pieces, pa.binary()), pa.array(counts, pa.int64())], names=["piece", "n"])
+        yield _one_row(*heavy.top())
 
-    found = docs.select(text_bytes(text_col)).mapInArrow(run, "piece binary, n long")
-    top = found.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(table)
-    return [bytes(r.piece) for r in top.collect()]
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[bytes] = Counter()
+        for batch in batches:
+            for pieces, counts in zip(batch.column(0), batch.column(1), strict=True):
+                for piece, n in zip(pieces.as_py(), counts.as_py(), strict=True):
+                    total[piece] += n
+            if len(total) > 4 * table:
+                total = Counter(dict(_heaviest(total, 2 * table)))
+        top = _heaviest(total, table)
+        yield _one_row([p for p, _ in top], [n for _, n in top])
+
+    schema = "pieces array<binary>, counts array<long>"
+    lists = docs.select(text_bytes(text_col)).mapInArrow(run, schema)
+    parts = lists.rdd.getNumPartitions()
+    while parts > 1:
+        parts = -(-parts // FAN)
+        # lists are dealt in turn, whole
+        lists = lists.repartition(parts).mapInArrow(merge, schema)
+    total: Counter[bytes] = Counter()
+    for r in lists.collect():  # one row, as there is one task left
+        total.update(dict(zip(map(bytes, r.pieces), r.counts, strict=True)))
+    return [p for p, _ in _heaviest(total, table)]
+
+
+def _heaviest(total: Counter[bytes], count: int) -> list[tuple[bytes, int]]:
+    return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:count]
+
+
+def _one_row(pieces: list[bytes], counts: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([pieces], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names=["pieces", "counts"])
 
 
 def length_table(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
