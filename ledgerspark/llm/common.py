@@ -56,13 +56,14 @@ def discard(*frames: DataFrame) -> None:
 HOT_SHARE = 1e-3
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str = "n") -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str = "n", total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which has one row for each key and the number of the key's rows.
 
     Hot keys' groups, fewer than 1 / ``HOT_SHARE``, are broadcast, so that their rows stay where they are; the others are
-    joined as usual.  Keys are not null.  The count is dropped.
+    joined as usual.  Keys are not null.  The count is dropped.  ``total``: the rows, or a bound of them, if known.
     """
-    total = groups.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
+    if total is None:
+        total = groups.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
     least = max(1, int(total * HOT_SHARE))
     hot, cold = groups.where(F.col(count_col) > least).drop(count_col), groups.where(F.col(count_col) <= least).drop(count_col)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")

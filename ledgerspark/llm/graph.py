@@ -26,13 +26,13 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "links")
     state = _sum(edges)
     while state[0]:
-        both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = saved(spread_join(both, least, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
-        lowest = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
-        small = spread_join(large, lowest, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both, rows = edges.union(edges.select(F.col("v"), F.col("u"))), 2 * state[0]
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = saved(spread_join(both, least, ["u"], total=rows).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, lowest, ["u"], total=rows).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, saved(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "links")
-        discard(old, least, large, lowest)
+        discard(old, large)
         before, state = state, _sum(edges)
         if state == before:
             break

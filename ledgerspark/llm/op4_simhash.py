@@ -214,7 +214,7 @@ def links(nodes: DataFrame, distance: int = 2, bucket: int = BUCKET, plan: list[
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))
     if all(p.threshold == 0 for p in plan):
         sizes = sizes.where("n > 1")
-    hit = spread_join(asked, saved(sizes.withColumn("rows", F.col("n")), "bucket-sizes"), ["part", "key"], "rows")
+    hit = spread_join(asked, sizes.withColumn("rows", F.col("n")), ["part", "key"], "rows")
     cold = hit.where((F.col("n") <= bucket) & (~F.col("own") | (F.col("n") > 1)))
     other = index.withColumnRenamed("fp", "other")
     near = cold.join(other, ["part", "key"]).where((fp < F.col("other")) & (_differ(fp, F.col("other")) <= distance)).select(fp.alias("a"), F.col("other").alias("b"))
@@ -238,9 +238,9 @@ def near_components(prints: DataFrame, distance: int = 2, id_col: str = "doc_id"
     joined = components(links(nodes.select("fp"), distance), "a", "b")
     named = nodes.join(joined, nodes["fp"] == joined["node"], "left").select(nodes["fp"], "least_id", "n", F.coalesce("component", nodes["fp"]).alias("component"))
     named = saved(named, "classes")
-    least = saved(named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes")), "least-ids")
+    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("nodes"))
     of_print = saved(spread_join(named, least, ["component"], "nodes").select("fp", "component_id", "n"), "print-classes")
-    discard(nodes, named, least)
+    discard(nodes, named)
     return spread_join(prints, of_print, ["fp"]).select(id_col, "fp", "component_id")
 
 
