@@ -1,11 +1,11 @@
 """Operator 7: best-fit packing of tokenised documents into sequences of bounded length.
 
-Best-fit by falling length: open bins are kept in a bitset keyed by free space, so the tightest bin that still takes a
-piece is one bit scan away.  When no bin fits and ``OPEN`` are open, the fullest closes first; ``OPEN`` is above the pieces
-of a group, so that this does not happen in groups of about ``GROUP`` documents.  Only
-(id, piece, start, length, checksum) rows are dealt out, in groups of about ``GROUP`` documents by a hash; pieces of
-full length fill a sequence alone.  A group's pieces are fed by falling length, which leaves one poorly filled bin a
-group or so.
+Bounded-space online best-fit: pieces are placed in order of arrival, each in the open bin that it fills best.  Open bins
+are kept in a bitset keyed by free space, so the tightest bin that still takes a piece is one bit scan away.  At most
+``OPEN`` bins are open; when no bin fits and all are open, the fullest closes first.  Only
+(id, piece, start, length, checksum) rows are dealt out, in groups of about ``GROUP`` documents by a hash, whose order is
+also that of arrival (so a task that is run again packs alike); pieces of full length fill a sequence alone.  A task
+holds one batch of rows and the open bins.
 
 Cases: null text is the empty text, a document of just its end token; an empty table gives an empty result; repeated
 rows and null ids are packed row by row; other columns are ignored, whatever their names.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import map_batches, text_bytes
 
-CAPACITY, OPEN, GROUP = 4096, 32_768, 16_384
+CAPACITY, OPEN, GROUP = 4096, 64, 16_384
 
 
 class BestFit:
@@ -34,7 +34,7 @@ class BestFit:
 
     def __init__(self, capacity: int, open_bins: int):
         self.capacity, self.limit = capacity, open_bins
-        self.bits, self.open, self.made = 0, 0, 0
+        self.bits, self.open, self.made, self.closed = 0, 0, 0, 0
         self.by_free: dict[int, list[int]] = defaultdict(list)
 
     def _take(self, free: int) -> int:
@@ -52,8 +52,9 @@ class BestFit:
             free = length + (fits & -fits).bit_length() - 1
             got = self._take(free)
         else:
-            if self.open >= self.limit:
+            if self.open >= self.limit and length < self.capacity:
                 self._take((self.bits & -self.bits).bit_length() - 1)
+                self.closed += 1
             got, free = self.made, self.capacity
             self.made += 1
         left = free - length
@@ -102,29 +103,16 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY, open_bins:
     at = names.index(length_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full, made, waiting = 0, TaskContext.get().partitionId() << 40, []
+        packer, first = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            length = batch.column(at).to_numpy(zero_copy_only=False)
-            whole = np.flatnonzero(length == capacity)
-            if len(whole):
-                taken = batch.take(pa.array(whole))
-                seq = made + 2 * np.arange(full, full + len(whole), dtype=np.int64) + 1
-                full += len(whole)
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(seq), pa.array(np.zeros(len(whole), np.int64))], names=[*names, "sequence_id", "offset"])
-            waiting.append(batch.take(pa.array(np.flatnonzero(length != capacity))))
-        if not waiting:
-            return
-        table = pa.Table.from_batches(waiting).combine_chunks()
-        if not table.num_rows:
-            return
-        table = table.sort_by([(length_col, "descending"), *((n, "ascending") for n in names if n != length_col and not pa.types.is_nested(table.schema.field(n).type))])
-        put = np.array(best_fit(table.column(at).to_pylist(), capacity, open_bins), np.int64)
-        table = table.append_column("sequence_id", pa.array(made + 2 * put[:, 0])).append_column("offset", pa.array(put[:, 1]))
-        yield from table.to_batches(max_chunksize=10_000)
-
-    dealt = pieces.withColumn("_deal", F.xxhash64(F.monotonically_increasing_id()))
-    dealt = dealt.repartition(max(1, -(-documents // group)), "_deal").drop("_deal")
-    return dealt.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long")
+            put = np.array([packer.place(n) for n in batch.column(at).to_pylist()], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(first + put[:, 0]), pa.array(put[:, 1])], names=[*names, "sequence_id", "offset"])
+
+    row = F.struct(*(F.col(f"`{n}`") for n in names))
+    dealt = pieces.select(row.alias("row"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    dealt = dealt.repartition(max(1, -(-documents // group)), "deal").sortWithinPartitions("deal")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
+    return dealt.select("row.*", "deal").mapInArrow(run, f"{kinds}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

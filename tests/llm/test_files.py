@@ -24,15 +24,41 @@ def test_the_fullest_bin_closes_first():
     assert op7_packing.best_fit([7, 4, 8, 3], 10, open_bins=2) == [(0, 0), (1, 0), (2, 0), (1, 4)]
 
 
-def test_bins_never_overflow():
+def listed_best_fit(sizes, capacity, open_bins):
+    """Best-fit by scanning a list of open bins; the last made of equal ones is taken."""
+    out, bins, made = [], [], 0  # bins: [free, number], in order of their last use
+    for n in sizes:
+        fits = [b for b in bins if b[0] >= n]
+        if fits:
+            got = min(reversed(fits), key=lambda b: b[0])
+            bins.remove(got)
+        else:
+            if len(bins) >= open_bins and n < capacity:
+                bins.remove(min(reversed(bins), key=lambda b: b[0]))
+            got, made = [capacity, made], made + 1
+        out.append((got[1], capacity - got[0]))
+        if got[0] > n:
+            bins.append([got[0] - n, got[1]])
+    return out
+
+
+@pytest.mark.parametrize("open_bins", [1, 5, 64])
+def test_best_fit_is_that_of_a_list(open_bins):
+    rng = random.Random(open_bins)
+    sizes = [rng.randint(1, 100) for _ in range(2000)]
+    assert op7_packing.best_fit(sizes, 100, open_bins) == listed_best_fit(sizes, 100, open_bins)
+
+
+def test_the_bound_acts_at_its_default():
     rng = random.Random(4)
-    sizes = sorted((rng.randint(1, 100) for _ in range(3000)), reverse=True)
-    used = {}
-    for n, (b, at) in zip(sizes, op7_packing.best_fit(sizes, 100, 4000), strict=True):
-        assert used.get(b, 0) == at
+    sizes = [rng.randint(1, 4096) for _ in range(op7_packing.GROUP)]
+    packer, used = op7_packing.BestFit(4096, op7_packing.OPEN), {}
+    for n in sizes:
+        b, at = packer.place(n)
+        assert used.get(b, 0) == at and packer.open <= op7_packing.OPEN
         used[b] = at + n
-        assert used[b] <= 100
-    assert len(used) <= sum(sizes) / 100 * 1.05 + 1
+        assert used[b] <= 4096
+    assert packer.closed > 0 and len(used) <= sum(sizes) / 4096 * 1.06
 
 
 def test_packed_documents(spark):
@@ -51,7 +77,8 @@ def test_packed_documents(spark):
             assert offset == at
             at += length
         assert at <= 4096
-    assert sorted(r.piece for r in got if r.doc_id == 60) == [0, 1, 2]
+    assert sorted((r.piece, r.start) for r in got if r.doc_id == 60) == [(0, 0), (1, 4096), (2, 8192)]
+    assert sorted(got, key=repr) == sorted(op7_packing.pack_documents(docs, tokenizer_file(WORD), end_id=1, with_ids=True).collect(), key=repr)
     assert op7_packing.pack_documents(docs.where("false"), tokenizer_file(WORD)).collect() == []
 
 
