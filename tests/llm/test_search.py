@@ -117,7 +117,7 @@ def test_near_copies_go(spark):
     for i in range(0, 300, 6):
         far[i] = word()
     rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (7, " ".join(base).upper()), (8, None), (9, ""), (None, " ".join(base)), (3, " ".join(far))]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "1 as id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'k' as key", "1 as id", "2 as _copy_key", "3 as row", "4 as name", "5 as no")
     left = op4_simhash.drop_near_copies(docs)
     assert left.columns == docs.columns and sorted(r.doc_id for r in left.collect()) == [1, 3, 8]
     assert op4_simhash.drop_near_copies(docs.where("false")).collect() == []
@@ -200,6 +200,9 @@ def test_large_components_stay_exact():
     q = np.array([[2.0**40, 1.0]])
     ids, cand, score = op5_topk.tile_top(np.array([1]), q, np.array([2, 3]), np.array([[2.0**20, 1.0], [2.0**20, 2.0]]), 1)
     assert (ids.tolist(), cand.tolist(), score.tolist()) == ([1], [3], [2**60 + 2])
+    # the product of a row with itself has no say
+    ids, cand, score = op5_topk.tile_top(np.array([1]), np.array([[2.0**40, 0.0]]), np.array([1, 2]), np.array([[2.0**40, 0.0], [5.0, 1.0]]), 3)
+    assert (ids.tolist(), cand.tolist(), score.tolist()) == ([1], [2], [5 * 2**40])
     with pytest.raises(OverflowError):
         op5_topk.tile_top(np.array([1]), q, np.array([2]), np.array([[2.0**40, 1.0]]), 1)
 
@@ -232,6 +235,21 @@ def test_secrets(spark):
     assert clean[400] is None and clean[None] == "[SECRET]" and clean[402] == "[SECRET] " * 3000
 
 
+def test_secrets_beside_columns_of_any_name(spark):
+    docs = spark.sql("select 1 as doc_id, 'token=0123456789abcdef0123' as text, 'a' as secret_spans, 'b' as _secret_text, 'c' as row, 'd' as spans, 'e' as key, 'f' as kinds, map(1, 2) as place")
+    assert [tuple(r) for r in op6_secrets.redact(docs).collect()] == [(1, "[SECRET]", "a", "b", "c", "d", "e", "f", {1: 2})]
+    found = op6_secrets.find_secrets(docs)
+    assert found.columns == ["doc_id", "text", "_secret_text", "row", "spans", "key", "kinds", "place", "secret_spans"] and len(found.first().secret_spans) == 2
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    rows = [(i, f"text {i} " + "password=abcdefghijkl" * (i % 3 == 0)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, op6_secrets.report(docs).collect()))
+    monkeypatch.setattr(op6_secrets, "FILTER_WORDS", 1)
+    assert sorted(map(tuple, op6_secrets.report(docs).collect())) == want and sum(r[1] for r in want) == 67
+
+
 def test_other_kinds(spark):
     texts = ["-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a" * 36, "xoxb-1234567890-abc", "eyJ" + "a" * 12 + "." + "b" * 12 + "." + "c" * 8, "ghp_short"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
