@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Alternatives that are followed while a regex is read; beyond it the strings read so far are kept as they are.
 ALTERNATIVES = 32
 #: Words of the bitmap of candidate keys: 8 MB of bits.
@@ -131,7 +133,7 @@ def _scanned(docs: DataFrame, rules: tuple[Rule, ...], text_col: str) -> DataFra
     plain = [c for c in docs.columns if not docs.schema[c].dataType.simpleString().startswith("map")]
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).withColumn("key", F.xxhash64(*(row[c] for c in plain)))
     indexed = tuple(r for r in rules if trigram_query(r.regex) is not None)
-    found = candidates(keyed.select("key", text.alias("text")), indexed, "key", "text")
+    found = saved(candidates(keyed.select("key", text.alias("text")), indexed, "key", "text"), "secret-candidates")
     # a bitmap of the candidates' keys, at most FILTER_WORDS rows: rows that it rules out need not meet the index
     place, bit = F.pmod(F.col("key"), F.lit(FILTER_WORDS)), F.shiftrightunsigned("key", 58).cast("int")
     words = found.select(place.alias("place"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("bit")).groupBy("place").agg(F.bit_or("bit").alias("bits"))
