@@ -1,19 +1,22 @@
 """Operator 8: toxicity by weak supervision.
 
-1. Voters.  Word beginnings of 4, 5, 6 and 8 letters that stand out among toxic training rows become lexicon voters
-   (the lists are mined, so they follow the corpus and its languages); a few patterns (shouting, runs of exclamation
-   marks, insults addressed to "you") vote beside them.
-2. Label model.  A generative model of the votes given a hidden label: expectation-maximisation estimates each voter's
-   accuracy, starting from a majority vote; voters that stay correlated given the label (nested word beginnings, say)
-   are found from the residual covariance and share their weight, so that agreement among them counts once.
+1. Voters, of both polarities and mixed quality.  Against a text: insults of a short general list, word beginnings of 4,
+   5, 6 and 8 letters that stand out among toxic training rows (mined, so they follow the corpus and its languages) and
+   patterns (shouting, runs of exclamation marks, insults addressed to "you").  For it: word beginnings that stand out
+   among clean rows, licence lines, and the silence of all lexicon voters against it.
+2. Label model.  A generative model of the votes given a hidden label: expectation-maximisation estimates how often each
+   voter fires on either label.  The given label is one voter among them, whose accuracy is estimated as well.  Voters
+   that stay correlated given the hidden label (nested word beginnings, say) are found from the residual covariance and
+   share their weight, so that agreement among them counts once.
 3. Classifier.  Logistic regression on the votes, trained on the label model's posteriors.  It scores every text.
 
-Voters are mined from, and the models fitted on, a bounded sample of labelled rows: at most ``SAMPLE`` rows of the
-training folds, chosen by hash.  Scoring covers all rows.
+Voters are mined from, and the models fitted on, a bounded sample of labelled rows: at most ``SAMPLE`` ids of the
+training folds, chosen by hash, one row each.  Scoring covers all rows.
 
-Cases: null text is the empty text; texts without words get the score of no votes; an empty table gives an empty
+Cases: null text is the empty text; texts without words get the score of their votes; an empty table gives an empty
 result; without labelled rows of both kinds every score is 0; rows of unknown label only take part in scoring; null
-labels and null ids count as unlabelled; repeated rows are scored row by row; other columns are ignored.
+labels and null ids count as unlabelled; an id with both labels counts as toxic; repeated rows are scored row by row;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,22 +32,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, map_batches
+from .common import crc_bucket, discard, map_batches, saved
 
 #: Labelled rows that voters and models are fitted on, at most.
 SAMPLE = 20_000
-#: Lexicon voters, at most; lengths of word beginnings.
+#: Mined voters of one polarity, at most (a classifier's size, not a filter of rows); lengths of word beginnings.
 VOTERS, BEGINNINGS = 400, (4, 5, 6, 8)
-#: A word beginning needs this share of the toxic rows (and this many of them at least), and this precision.
-SUPPORT, LEAST, PRECISION = 0.01, 4, 0.95
+#: A mined voter fires on this share of the rows of its side (and this many at least), its rates on the two sides differ
+#: by this many standard errors, and this share of the sum of both rates is that of its side.
+SUPPORT, LEAST, ERRORS = 0.01, 4, 6.0
+AGAINST, FAVOUR = 0.95, 0.8
+#: Trust in the given labels and the rows that it stands for; rows that a voter's equal rates stand for.
+TRUST, TRUSTED, BELIEF = 0.9, 20.0, 10.0
 THRESHOLD = 0.7
+#: Insults of general use, voters whatever the labels say.
+INSULTS = "idiot moron stupid dumb loser scum trash filth pathetic worthless disgusting clown imbecile cretin bastard bitch bullshit asshole arschloch dummkopf idioten miststück abschaum connard crétin salaud ordure imbécile cabrón gilipollas estúpido basura".split()
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Patterns that vote against a text, and those that vote for it.
 PATTERNS = {
     "shouting": re.compile(r"(?:\b[A-Z]{4,}\b\W+){3}"),
     "exclaiming": re.compile(r"!{2,}"),
     "addressed": re.compile(r"\b(?:you|u|your)\b[^.!?\n]{0,20}\b(?:are|re|so|such)\b", re.I),
 }
+FAVOURS = {
+    "licensed": re.compile(r"\b(?:licen[sc]ed? under|all rights reserved|copyright)\b", re.I),
+}
 
 
 def beginnings(text: str) -> set[str]:
@@ -53,64 +66,97 @@ def beginnings(text: str) -> set[str]:
 
 
 class Voters:
-    """Votes of a text: the numbers of the voters that fire (lexicon first, patterns after)."""
+    """Votes of a text: the numbers of the voters that fire.
+
+    Order: lexicon against, patterns against, lexicon in favour, patterns in favour, silence of the lexicon against.
+    """
 
-    def __init__(self, lexicon: list[str]):
-        self.lexicon = lexicon
-        self.size = len(lexicon) + len(PATTERNS)
+    def __init__(self, against: list[str], favour: list[str]):
+        self.against, self.favour = against, favour
+        self.patterns = [*PATTERNS.values(), *FAVOURS.values()]
+        self.numbers = [*range(len(against)), *range(len(against) + len(PATTERNS), len(against) + len(PATTERNS) + len(favour))]
+        self.of_pattern = [*range(len(against), len(against) + len(PATTERNS)), *range(len(against) + len(PATTERNS) + len(favour), self.size - 1)]
         self.trie = ahocorasick.Automaton()
-        for i, w in enumerate(lexicon):
+        for i, w in zip(self.numbers, [*against, *favour], strict=True):
             self.trie.add_word(w, (i, len(w)))
-        if lexicon:
+        if self.numbers:
             self.trie.make_automaton()
 
+    @property
+    def size(self) -> int:
+        return len(self.against) + len(PATTERNS) + len(self.favour) + len(FAVOURS) + 1
+
+    @property
+    def polarity(self) -> np.ndarray:
+        """1 for voters against a text, -1 for those in its favour."""
+        return np.where(np.arange(self.size) < len(self.against) + len(PATTERNS), 1, -1)
+
     def votes(self, text: str) -> list[int]:
         got: set[int] = set()
-        if self.lexicon:
+        if self.numbers:
             low = text.lower()
             for end, (i, size) in self.trie.iter(low):
                 at = end - size + 1
                 if i not in got and (at == 0 or not low[at - 1].isalpha()):
                     got.add(i)
-        got.update(len(self.lexicon) + i for i, p in enumerate(PATTERNS.values()) if p.search(text))
+        if not any(i < len(self.against) for i in got):
+            got.add(self.size - 1)
+        got.update(i for i, p in zip(self.of_pattern, self.patterns, strict=True) if p.search(text))
         return sorted(got)
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log odds per row, rows where no lexicon voter fires, posterior per row) of rows by voters; ``prior`` is the share of toxic rows.
+@dataclass
+class LabelModel:
+    """What the label model says: each voter's firing rates on toxic and clean rows, how many share its vote, and the
+    given label's rates of saying toxic."""
+
+    on_toxic: np.ndarray
+    on_clean: np.ndarray
+    share: np.ndarray
+    given: tuple[float, float]
+    prior: float
+
+    def posterior(self, votes: np.ndarray, given: np.ndarray) -> np.ndarray:
+        yes, no = self.given
+        odds = np.log(self.prior / (1 - self.prior)) + votes @ (np.log(self.on_toxic / self.on_clean) / self.share)
+        odds += np.where(given == 1, np.log(yes / no), np.log((1 - yes) / (1 - no)))
+        return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+
 
-    Expectation-maximisation from a majority vote; a voter's evidence is divided by how many of the voters that it is
-    correlated with, given the label, vote with it on average.  A voter that does not fire abstains.
+def label_model(votes: np.ndarray, given: np.ndarray, weight: np.ndarray, polarity: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
+    """Expectation-maximisation over rows by voters; ``weight``: rows with these votes, ``prior``: share of toxic rows.
+
+    The given label is one more voter, right to ``TRUST`` as a start and as ``TRUSTED`` rows of belief.  A voter that does
+    not fire abstains; its evidence is divided by how many of the voters that it is correlated with, given the hidden
+    label, vote with it on average.
     """
-    n, m = votes.shape
     x = votes.astype(np.float64)
-    words = m - len(PATTERNS)
     prior = min(max(prior, 1e-3), 0.5)
-    silent = x[:, :words].sum(1) == 0
-    post = np.where(silent, 0.02, 0.95)
-    share = np.ones(m)
+    ones = np.ones(x.shape[1])
+    # voters against a text start as thrice as frequent on toxic rows, those in its favour the other way round
+    lean = np.where(polarity > 0, 3.0, 1 / 3)
+    model = LabelModel(0.1 * lean, 0.1 * ones, np.maximum(1.0, x.sum(1).mean()) * ones, (TRUST, 1 - TRUST), prior)
     for step in range(rounds):
-        w1, w0 = post.sum(), n - post.sum()
-        p1 = (post @ x + 0.5) / (w1 + 1)
-        p0 = ((1 - post) @ x + 0.05) / (w0 + 1)
-        p0[:words] = np.minimum(p0[:words], p1[:words] * prior / (1 - prior) / 9)  # a lexicon voter is right nine times in ten
-        if step == rounds // 2:  # correlations that the label does not explain
+        post = model.posterior(x, given)
+        w1, w0 = weight * post, weight * (1 - post)
+        # before any row is seen, a voter fires as often on either label
+        rate = (weight @ x + 1) / (weight.sum() + 2)
+        p1, p0 = ((w @ x + BELIEF * rate) / (w.sum() + BELIEF) for w in (w1, w0))
+        says = (w1 @ (given == 1) + TRUSTED * TRUST) / (w1.sum() + TRUSTED), (w0 @ (given == 1) + TRUSTED * (1 - TRUST)) / (w0.sum() + TRUSTED)
+        share = model.share
+        if step % 10 == 1:  # correlations that the hidden label does not explain
             centred = x - post[:, None] * p1 - (1 - post[:, None]) * p0
-            cov = centred.T @ centred / n
+            cov = (centred * weight[:, None]).T @ centred / weight.sum()
             sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
-            related = (np.abs(cov / np.outer(sd, sd)) > 0.3).astype(np.float64)
-            together = x.T @ x  # how many of a voter's relatives vote with it on average, itself included
-            share = np.maximum(1, (together * related).sum(1) / np.maximum(x.sum(0), 1))
-        odds = np.log(prior / (1 - prior)) + x @ (np.log(p1 / p0) / share)
-        post = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        # rows on which the whole lexicon abstains share what the voted rows leave of the toxic mass
-        if silent.any():
-            post[silent] = np.clip((prior * n - post[~silent].sum()) / silent.sum(), 1e-3, prior / 4)
-    return odds, silent, post
-
-
-def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.005, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps: (weights, intercept)."""
+            related = (np.abs(cov / np.outer(sd, sd)) > 0.3) & np.equal.outer(polarity, polarity)
+            together = (x * weight[:, None]).T @ x  # how many of a voter's relatives vote with it, itself included
+            share = np.maximum(1, (together * related).sum(1) / np.maximum(weight @ x, 1))
+        model = LabelModel(p1, p0, share, says, prior)
+    return model
+
+
+def fit_linear(votes: np.ndarray, weight: np.ndarray, target: np.ndarray, ridge: float = 0.005, rounds: int = 40) -> tuple[np.ndarray, float]:
+    """Logistic regression of weighted rows on soft labels by Newton steps: (weights, intercept)."""
     x = np.hstack([votes.astype(np.float64), np.ones((len(votes), 1))])
     w = np.zeros(x.shape[1])
     w[-1] = -2.0
@@ -118,8 +164,8 @@ def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.005, roun
     penalty[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - target) + penalty * w
-        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        gradient = x.T @ (weight * (p - target)) + penalty * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(curve, gradient)
         w -= step * min(1.0, 4.0 / max(np.abs(step).max(), 1e-9))
         if np.abs(step).max() < 1e-6:
@@ -129,93 +175,81 @@ def fit_linear(votes: np.ndarray, target: np.ndarray, ridge: float = 0.005, roun
 
 @dataclass
 class Model:
-    lexicon: list[str]
+    against: list[str]
+    favour: list[str]
     weights: np.ndarray
     intercept: float
+    labels: LabelModel | None = None
 
     def score(self, voters: Voters, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.intercept + self.weights[voters.votes(text)].sum(), -30, 30))))
 
 
+def stand_out(hits: dict[str, int], other: dict[str, int], n: int, m: int, precision: float) -> list[str]:
+    """Word beginnings that fire much more often on ``n`` rows than on ``m`` others, the most telling first."""
+    least, good = max(LEAST, int(n * SUPPORT)), {}
+    for w, on in hits.items():
+        a, b, p = on / n, other.get(w, 0) / m, (on + other.get(w, 0)) / (n + m)
+        errors = (a - b) / max(1e-12, (p * (1 - p) * (1 / n + 1 / m)) ** 0.5)
+        if on >= least and a / (a + b) >= precision and errors >= ERRORS:
+            good[w] = a - b
+    longest = {w: w for w in good}
+    for v in sorted(good, key=lambda v: (len(v), v)):
+        # as specific as it gets without losing rows: a longer beginning that is in as good as all the same rows
+        for k in BEGINNINGS:
+            if k < len(v) and v[:k] in good and hits[v] >= 0.98 * hits[v[:k]]:
+                longest[v[:k]] = v
+    chosen = {longest[w]: good[w] for w in good if not any(w[:k] in good for k in BEGINNINGS if k < len(w))}
+    return sorted(chosen, key=lambda w: (-chosen[w], w))[:VOTERS]
+
+
+def fit_votes(against: list[str], favour: list[str], votes: np.ndarray, given: np.ndarray, weight: np.ndarray, prior: float) -> Model:
+    """Label model and classifier on distinct ballots (rows by voters) with given labels, and how often each was cast."""
+    labels = label_model(votes, given, weight, Voters(against, favour).polarity, prior)
+    return Model(against, favour, *fit_linear(votes, weight, labels.posterior(votes.astype(np.float64), given)), labels)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit voters, label model and classifier on labelled rows outside the held-out fold."""
-    empty = Model([], np.zeros(len(PATTERNS)), -30.0)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & (crc_bucket(id_col, folds) != held))
-    chosen = known.select(id_col, F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(sample)
-    # at most `sample` rows of (id, label), so the broadcast is bounded
-    rows = docs.select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col).select("text", "y")
+    chosen = known.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    # at most `sample` rows of (id, label), so the broadcast is bounded, and one row for each of them
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "id")
+    rows = saved(texts.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).select("text", "y"), "labelled")
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
-        n = 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update(beginnings(text))
-                n += 1
-        words = [*seen, ""]
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array([*seen.values(), n], pa.int64())], names=["word", "n"])
-
-    toxic = rows.where("y = 1").select("text").mapInArrow(mine, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).cache()
-    try:
-        total = toxic.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        least = max(LEAST, int(total * SUPPORT))
-        # a word beginning in 1 % of the toxic rows at least: 100 times the beginnings of a text at most
-        hits = {r.word: r.n for r in toxic.where(F.col("word") != "").where(F.col("n") >= least).collect()}
-    finally:
-        toxic.unpersist()
-    if not hits:
-        return empty
-    candidates = sorted(hits)
-    shared = docs.sparkSession.sparkContext.broadcast(candidates)
-
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voters, seen, n = Voters(shared.value), np.zeros(len(shared.value) + len(PATTERNS), np.int64), 0
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen[voters.votes(text)] += 1
-                n += 1
-        seen = np.append(seen[: len(shared.value)], n)
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at])], names=["i", "n"])
-
-    clean = {r.i: r.n for r in rows.where("y = 0").select("text").mapInArrow(against, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).collect()}
-    n_clean = clean.get(len(candidates), 0)
-    if not n_clean:
-        return empty
-    rated = []
-    for i, w in enumerate(candidates):
-        on, off = hits[w] / total, clean.get(i, 0) / n_clean
-        if hits[w] / (hits[w] + clean.get(i, 0)) >= PRECISION:
-            rated.append((-(on - off), w))
-    good = {w for _, w in rated}
-    chosen: dict[str, float] = {}
-    for worth, w in rated:
-        if not any(w[:n] in good for n in BEGINNINGS if n < len(w)):
-            # as specific as it gets without losing rows: a longer beginning that is in as good as all the same rows
-            longest = max((v for v in good if v.startswith(w) and hits[v] >= 0.98 * hits[w]), key=lambda v: (len(v), v))
-            chosen[longest] = worth
-    lexicon = sorted(chosen, key=lambda w: (chosen[w], w))[:VOTERS]
-    if not lexicon:
-        return empty
-    words = docs.sparkSession.sparkContext.broadcast(lexicon)
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                seen[y].update(beginnings(text))
+                seen[y][""] += 1
+        words = sorted({*seen[0], *seen[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "n0", "n1"])
+
+    counted = saved(rows.mapInArrow(mine, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "beginnings")
+    n_clean, n_toxic = counted.where("word = ''").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    if not n_clean or not n_toxic:
+        return Model([], [], np.zeros(Voters([], []).size), -30.0)
+    # beginnings in 1 % of the rows of a side at least: 100 times those of a text at most
+    common = (F.col("n0") >= max(LEAST, int(n_clean * SUPPORT))) | (F.col("n1") >= max(LEAST, int(n_toxic * SUPPORT)))
+    found = {r.word: (r.n0, r.n1) for r in counted.where(common & (F.col("word") != "")).collect()}
+    clean, toxic = ({w: n[y] for w, n in found.items()} for y in (0, 1))
+    against = [*INSULTS, *(w for w in stand_out(toxic, clean, n_toxic, n_clean, AGAINST) if w not in INSULTS)]
+    favour = [w for w in stand_out(clean, toxic, n_clean, n_toxic, FAVOUR) if w not in against]
 
     def cast(batch: pa.RecordBatch) -> pa.RecordBatch:
-        voters = Voters(words.value)
+        voters = Voters(against, favour)
         return pa.RecordBatch.from_arrays([pa.array([voters.votes(t) for t in batch.column(0).to_pylist()], pa.list_(pa.int32())), batch.column(1)], names=["votes", "y"])
 
-    ballots = map_batches(rows.select("text", "y"), cast, "votes array<int>, y int").toArrow()
-    ballots = sorted(zip(ballots.column("votes").to_pylist(), ballots.column("y").to_pylist(), strict=True))
-    matrix = np.zeros((len(ballots), len(lexicon) + len(PATTERNS)), np.int8)
-    for i, (b, _) in enumerate(ballots):
-        matrix[i, b] = 1
-    odds, silent, posterior = label_model(matrix, total / (total + n_clean))
-    truth = np.array([y for _, y in ballots], np.float64)
-    if (~silent).any():
-        # the label model ranks; its odds are put on the scale of the training labels
-        slope, shift = fit_linear(odds[:, None], truth, ridge=0.01)
-        posterior = np.where(silent, posterior, 1 / (1 + np.exp(-np.clip(slope[0] * odds + shift, -30, 30))))
-    weights, intercept = fit_linear(matrix, posterior)
-    return Model(lexicon, weights, intercept)
+    # at most `sample` distinct ballots
+    ballots = map_batches(rows, cast, "votes array<int>, y int").groupBy("votes", "y").agg(F.count("*").alias("n")).collect()
+    discard(rows, counted)
+    ballots.sort(key=lambda r: (r.votes, r.y))
+    votes = np.zeros((len(ballots), Voters(against, favour).size), np.int8)
+    for i, r in enumerate(ballots):
+        votes[i, r.votes] = 1
+    given, weight = np.array([r.y for r in ballots]), np.array([r.n for r in ballots], np.float64)
+    return fit_votes(against, favour, votes, given, weight, n_toxic / (n_toxic + n_clean))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -225,7 +259,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        voters = Voters(m.lexicon)
+        voters = Voters(m.against, m.favour)
         scores = np.array([m.score(voters, t) for t in batch.column(len(kept)).to_pylist()])
         return pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[*kept, "score", "predicted"])
 
@@ -240,7 +274,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = shared.value
-        voters = Voters(m.lexicon)
+        voters = Voters(m.against, m.favour)
         return batch.filter(pa.array([m.score(voters, t or "") < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return map_batches(docs, rows, docs.schema)

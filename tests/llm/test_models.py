@@ -120,10 +120,11 @@ def corpus(n=600):
 
 def test_toxicity(spark):
     rows = corpus()
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (9000, ""), (9001, "zorgling " * 20_000)], "doc_id long, text string").selectExpr("*", "1 as score")
+    repeats = [(9002, rows[0][1])] * 3 + [rows[5][:2]] * 4
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(None, None), (9000, ""), (9001, "zorgling " * 20_000), *repeats], "doc_id long, text string").selectExpr("*", "1 as score")
     labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (9000, None)], "doc_id long, toxic int")
     model = op8_toxicity.fit(docs, labels)
-    assert all(any(w.startswith(p) for w in model.lexicon) for p in ("zorg", "qwax", "uzzb"))
+    assert all(any(w.startswith(p) for w in model.against) for p in ("zorg", "qwax", "uzzb"))
     got = {r.doc_id: r for r in op8_toxicity.score(docs, model).collect()}
     test = [(got[i].predicted, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(p == 1 and y == 0 for p, y in test) == 0 and sum(p == 1 for p, y in test if y) >= 0.95 * sum(y for _, y in test)
@@ -133,13 +134,60 @@ def test_toxicity(spark):
     assert op8_toxicity.score(docs.where("false"), model).collect() == []
 
 
+def test_repeated_ids_are_fitted_on_once(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    a, b = (op8_toxicity.fit(d, labels) for d in (docs, docs.union(docs).union(docs)))
+    assert a.against == b.against and np.allclose(a.weights, b.weights)
+
+
+def brute_posterior(m, ballot, given):
+    yes, no = m.prior, 1 - m.prior
+    for fired, p1, p0, share in zip(ballot, m.on_toxic, m.on_clean, m.share, strict=True):
+        yes, no = (yes * p1 ** (1 / share), no * p0 ** (1 / share)) if fired else (yes, no)
+    yes, no = (yes * m.given[0], no * m.given[1]) if given else (yes * (1 - m.given[0]), no * (1 - m.given[1]))
+    return yes / (yes + no)
+
+
+def test_label_model_finds_accuracies():
+    rng = np.random.default_rng(6)
+    truth = rng.random(6000) < 0.2
+    on1, on0 = np.array([0.5, 0.4, 0.3, 0.2, 0.1, 0.2]), np.array([0.02, 0.05, 0.1, 0.2, 0.5, 0.7])
+    votes = (rng.random((6000, 6)) < np.where(truth[:, None], on1, on0)).astype(np.int8)
+    votes = np.hstack([votes, votes[:, :1], votes[:, :1]])  # two copies of a voter
+    given = np.where(rng.random(6000) < 0.05, ~truth, truth).astype(int)
+    m = op8_toxicity.label_model(votes, given, np.ones(6000), np.array([1, 1, 1, 1, -1, -1, 1, 1]), truth.mean())
+    assert np.abs(m.on_toxic[:6] - on1).max() < 0.12 and np.abs(m.on_clean[:6] - on0).max() < 0.05
+    assert np.allclose(m.share[[0, 6, 7]], 3, atol=0.1) and m.share[3] < 1.5
+    assert abs(m.given[0] - 0.95) < 0.08 and abs(m.given[1] - 0.05) < 0.03
+    post = m.posterior(votes.astype(float), given)
+    assert all(math.isclose(post[i], brute_posterior(m, votes[i], given[i]), rel_tol=1e-9) for i in range(50))
+    assert ((post > 0.5) == truth).mean() > 0.96
+
+
+def test_linear_fit_is_the_minimum():
+    rng = np.random.default_rng(7)
+    x, weight = (rng.random((200, 4)) < 0.3).astype(float), rng.integers(1, 5, 200).astype(float)
+    target = rng.random(200)
+    w, b = op8_toxicity.fit_linear(x, weight, target)
+
+    def loss(w, b):
+        z = x @ w + b
+        return (weight * (np.logaddexp(0, z) - target * z)).sum() + 0.0025 * (w @ w) + 0.0005 * b * b
+
+    assert all(loss(w, b) <= loss(w + rng.normal(size=4) * 0.01, b + rng.normal() * 0.01) for _ in range(200))
+    whole, often = op8_toxicity.fit_linear(np.repeat(x, weight.astype(int), 0), np.ones(int(weight.sum())), np.repeat(target, weight.astype(int)))
+    assert np.allclose(w, whole) and math.isclose(b, often, rel_tol=1e-6)
+
+
 def test_held_out_labels_are_not_read(spark):
     rows = corpus(200)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
     same = [spark.createDataFrame([(i, 1 - y if flip and fold(i) else y) for i, _, y in rows], "doc_id long, toxic int") for flip in (False, True)]
     a, b = (op8_toxicity.fit(docs, x) for x in same)
-    assert a.lexicon == b.lexicon and np.array_equal(a.weights, b.weights)
+    assert (a.against, a.favour) == (b.against, b.favour) and np.array_equal(a.weights, b.weights)
 
 
 @pytest.mark.parametrize("label", [0, 1, None])
