@@ -23,6 +23,7 @@ JURISDICTIONS = [
     ("FR", "EUR", "fr-FR", [("TVA", "20.000")]),
 ]
 MODELS = ["per_unit", "flat_rate", "subscription", "hourly_labour", "seat_based", "metered_usage", "graduated_tier"]
+COUNTED = ["fee_schedule", "milestone", "interest", "prepaid_credit", "volume_tier"]
 # Bands of the tiered models (lower bound, upper bound, rate).
 BANDS = [(1, 0, 10_000, "0.0020"), (2, 10_000, 100_000, "0.0015"), (3, 100_000, None, "0.0010")]
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
@@ -153,6 +154,16 @@ def billed(lines: DataFrame) -> DataFrame:
     return lines.withColumn("billed_quantity", quantity).withColumn("billed_amount", money(F.col("billed_quantity") * F.col("unit_price")))
 
 
+def other_model(key: Column) -> Column:
+    """Models whose lines are a count at a price."""
+    return F.element_at(F.array(*map(F.lit, COUNTED)), (key % len(COUNTED) + 1).cast("int"))
+
+
+def counted(invoice: Column, line: Column) -> Column:
+    """Quantity of a counted line: 1 to 500."""
+    return 1 + hash52("quantity", invoice, line) % 500
+
+
 # -- constraints ---------------------------------------------------------------------
 
 

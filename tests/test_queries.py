@@ -5,11 +5,12 @@ import decimal
 import duckdb
 import pytest
 
-from ledgerspark.plans.more_queries import ALL as QUERIES
-from ledgerspark.plans.more_queries import MORE_SQL
+from ledgerspark.operators import records
+from ledgerspark.plans.more_queries import ALL, MORE_SQL
 from ledgerspark.plans.oracle import ORACLE as FIRST_SQL
+from ledgerspark.plans.record_queries import RECORD_SQL, RECORDS
 
-ORACLE = FIRST_SQL | MORE_SQL
+QUERIES, ORACLE = ALL | RECORDS, FIRST_SQL | MORE_SQL | RECORD_SQL
 
 
 def norm(v):
@@ -43,6 +44,20 @@ def test_same_rows(spark, sf, duck, name):
     assert a == sorted(repr([norm(r[i]) for i in at]) for r in want.fetchall())
 
 
+def test_whole_records(spark, sf):
+    rows = QUERIES["invoice_rows"](spark, sf)
+    assert len(rows.columns) == 52 and len(QUERIES["line_item_rows"](spark, sf).columns) == 39
+    notes = rows.where("goods_receipt").select("invoice_id", "issue_date", "received_date", "is_handwritten").collect()
+    assert all(r.is_handwritten and 0 <= (r.received_date - r.issue_date).days <= 6 for r in notes)
+
+
+def test_delivery_notes_fall_back_to_all_lines(spark):
+    lines = spark.createDataFrame([(1, 1, "fee"), (1, 2, "product"), (1, 3, "part"), (2, 1, "fee"), (2, 2, "labour")], "invoice_index long, line_no long, kind string")
+    got = {(r.invoice_index, r.line_no): (r.delivery_no, r.fallback) for r in records.delivery_lines(lines).collect()}
+    assert got == {(1, 2): (1, False), (1, 3): (2, False), (2, 1): (1, True), (2, 2): (2, True)}
+    assert records.delivery_lines(lines, most=1).count() == 2
+
+
 def test_layout_does_not_change_rows(spark, sf):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     rows = lambda: sorted(map(repr, QUERIES["golden_invoices"](spark, sf).collect()))
