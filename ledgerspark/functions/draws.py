@@ -31,11 +31,19 @@ def pick(name: str, options: list, *keys: Column) -> Column:
 
 
 def cumulative(weights: DataFrame, key: str, weight: str) -> DataFrame:
-    """Integer weights as half-open ranges: adds ``lo``, ``hi`` and ``total``."""
-    order = Window.orderBy(key)
-    running = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum(weight).over(Window.partitionBy(F.lit(1)))
-    return weights.withColumn("hi", running).withColumn("lo", F.col("hi") - F.col(weight)).withColumn("total", whole)
+    """Integer weights as half-open ranges in the order of the key: adds ``lo``, ``hi`` and ``total``.
+
+    Rows are cut into key ranges; each range sums up its own rows, and only the ranges' sums, one row a partition, meet
+    in one task.
+    """
+    cut = weights.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    sums = cut.groupBy("_part").agg(F.sum(weight).alias("_sum"), F.min(key).alias("_first"))
+    order = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(1))).alias("total"))
+    running = F.sum(weight).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    # one row a partition, so the broadcast is bounded by their number
+    out = cut.join(F.broadcast(starts), "_part").withColumn("hi", F.col("_start") + running)
+    return out.withColumn("lo", F.col("hi") - F.col(weight)).select(*weights.columns, "hi", "lo", "total")
 
 
 def weighted_draw(rows: DataFrame, draw: Column, ranges: DataFrame, total: int, buckets: int = 1024) -> DataFrame:

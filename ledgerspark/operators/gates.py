@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import findings, normalised
+from ..functions.text import findings_of_stripped, normalised, stripped
 
 
 def gate_findings(items: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each finding: (key, rule)."""
-    return items.select(key, F.explode(findings(F.col(text))).alias("rule"))
+    return _rules(items, key, text).select(key, F.explode("rules").alias("rule"))
+
+
+def _rules(items: DataFrame, key: str, text: str) -> DataFrame:
+    # the stripped text is a column of its own, so that a dozen rules don't strip it a dozen times
+    ready = items.select(key, stripped(F.coalesce(F.col(text), F.lit(""))).alias("text"))
+    return ready.select(key, findings_of_stripped(F.col("text")).alias("rules"))
 
 
 def by_rule(found: DataFrame) -> DataFrame:
@@ -19,8 +25,8 @@ def by_rule(found: DataFrame) -> DataFrame:
 
 def rejection(items: DataFrame, key: str, text: str) -> DataFrame:
     """Items, rejected items, and their rate to four decimals; nothing rejected of nothing is 0."""
-    bad = (F.size(findings(F.col(text))) > 0).cast("int")
-    counts = items.select(bad.alias("bad")).agg(F.count("*").alias("items"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("rejected"))
+    bad = (F.size("rules") > 0).cast("int")
+    counts = _rules(items, key, text).select(bad.alias("bad")).agg(F.count("*").alias("items"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("rejected"))
     rate = F.when(F.col("items") == 0, F.lit(0)).otherwise(F.col("rejected") * 10000 / F.col("items"))
     return counts.withColumn("rate_bp", F.round(rate, 0).cast("long"))
 

@@ -34,21 +34,57 @@ def spend(usage: DataFrame) -> DataFrame:
     return nano.rollup("model").agg(F.sum("nano").alias("nano"), F.sum("total_tokens").alias("tokens"), F.count("*").alias("calls")).withColumn("model", F.coalesce("model", F.lit("*")))
 
 
+#: Calls whose numbers fall in one bucket of a running total.
+BUCKET = 65_536
+
+
+def _bucketed(usage: DataFrame, by: str, order: str) -> DataFrame:
+    return usage.withColumn("_bucket", F.expr(f"`{order}` div {BUCKET}"))
+
+
 def budget_prefix(usage: DataFrame, limit: Column, by: str = "model", order: str = "event_id") -> DataFrame:
-    """The calls, in order, that fit a budget for each group: spent before plus own cost within the limit."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return usage.withColumn("spent", F.sum("cost_usd").over(w).cast("decimal(28,12)")).where(F.col("spent") <= limit)
+    """The calls, in order, that fit a budget for each group: spent before plus own cost within the limit.
+
+    Running sums are taken inside buckets of the order; buckets, a small table, are summed up before them.
+    """
+    calls = _bucketed(usage, by, order)
+    sums = calls.groupBy(by, "_bucket").agg(F.sum("cost_usd").alias("_sum"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(by, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    running = calls.join(starts, [by, "_bucket"]).withColumn("spent", (F.col("_before") + F.sum("cost_usd").over(within)).cast("decimal(28,12)"))
+    return running.where(F.col("spent") <= limit).select(*usage.columns, "spent")
 
 
 def failure_streaks(usage: DataFrame, by: str = "model", order: str = "event_id") -> DataFrame:
-    """The longest run of consecutive failures of each group (gaps and islands)."""
-    failed = F.col("status") == "error"
-    whole, part = Window.partitionBy(by).orderBy(order), Window.partitionBy(by, "status").orderBy(order)
-    marked = usage.withColumn("island", F.row_number().over(whole) - F.row_number().over(part))
-    runs = marked.where(failed).groupBy(by, "island").agg(F.count("*").alias("n"))
-    return runs.groupBy(by).agg(F.max("n").alias("longest_streak"), F.count("*").alias("streaks"))
+    """The longest run of consecutive failures of each group.
+
+    Each bucket of the order gives its runs that touch neither end, and what it begins and ends with; runs over several
+    buckets are put together from the buckets alone.
+    """
+    calls = _bucketed(usage, by, order).select(by, "_bucket", order, (F.col("status") == "error").alias("failed"))
+    whole, part = Window.partitionBy(by, "_bucket").orderBy(order), Window.partitionBy(by, "_bucket", "failed").orderBy(order)
+    marked = calls.withColumn("island", F.row_number().over(whole) - F.row_number().over(part))
+    size = F.count("*").over(Window.partitionBy(by, "_bucket"))
+    runs = marked.withColumn("size", size).withColumn("at", F.row_number().over(whole)).where("failed")
+    runs = runs.groupBy(by, "_bucket", "island", "size").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    # a run continues that of the bucket before if it begins its bucket and the other ends its own
+    every = calls.groupBy(by, "_bucket").agg(F.count("*").alias("size")).withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("_bucket")))
+    placed = runs.drop("size").join(every, [by, "_bucket"])
+    inner = placed.where((F.col("first") > 1) & (F.col("last") < F.col("size"))).select(by, "n")
+    edge = placed.where((F.col("first") == 1) | (F.col("last") == F.col("size")))
+    line = Window.partitionBy(by).orderBy("nth", "first")
+    joins = (F.col("first") == 1) & (F.lag("nth").over(line) == F.col("nth") - 1) & (F.lag("last").over(line) == F.lag("size").over(line))
+    chain = edge.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("new").over(line))
+    streaks = inner.unionByName(chain.groupBy(by, "chain").agg(F.sum("n").alias("n")).select(by, "n"))
+    return streaks.groupBy(by).agg(F.max("n").alias("longest_streak"), F.count("*").alias("streaks"))
 
 
 def running_max(usage: DataFrame, by: str = "model", order: str = "event_id") -> DataFrame:
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return usage.withColumn("observed_max", F.max("output_tokens").over(w))
+    """The greatest number of output tokens so far, from buckets as in the running sums."""
+    calls = _bucketed(usage, by, order)
+    tops = calls.groupBy(by, "_bucket").agg(F.max("output_tokens").alias("_top"))
+    before = Window.partitionBy(by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = tops.select(by, "_bucket", F.max("_top").over(before).alias("_before"))
+    within = Window.partitionBy(by, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return calls.join(starts, [by, "_bucket"]).withColumn("observed_max", F.greatest("_before", F.max("output_tokens").over(within))).select(*usage.columns, "observed_max")

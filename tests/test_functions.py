@@ -1,6 +1,9 @@
 """Column functions against published numbers."""
 
 import hashlib
+import itertools
+import re
+import unicodedata
 from decimal import Decimal
 
 import pytest
@@ -81,3 +84,38 @@ def test_normalised_texts_collide(spark):
 def test_initials_and_slugs(spark):
     assert one(spark, text.initials(F.lit("  golden  ledger works "))) == "GL"
     assert one(spark, text.slug(F.lit("Café & Fils"))) == "cafe-fils"
+
+
+@pytest.mark.parametrize("raw", ["Ærø ﬁnal ﬂow", "x² + y³ = ½", "Ｆｕｌｌ Ｗｉｄｔｈ", "Ĳssel №5 ℡", "Éléphant naïve Straße", "日本 abc", "", "Å\u0301ngström", "㎏ ㎜ ﬃ"])
+def test_normal_form_folds_compatible_characters(spark, raw):
+    folded = "".join(c for c in unicodedata.normalize("NFKD", raw.lower()) if not unicodedata.combining(c))
+    assert one(spark, text.normalised(F.lit(raw))) == re.sub("[^a-z0-9]+", " ", folded).strip()
+
+
+@pytest.mark.parametrize("raw,rule", [("Sure, here it is at last", "preamble"), ("Description - brake pads", "preamble"), ("surely a fine thing", None), ("Upgraded seat covers", None), ("Maximises the output", "marketing"), ("call +33 (0)1 23 45 67 89 now", "pii_digits"), ("mail a.b@corp.net today", "pii_email"), ("see WWW.corp.net today", "pii_url"), ("http://x.example ok then", None)])
+def test_rules(spark, raw, rule):
+    assert one(spark, text.findings(F.lit(raw))) == ([rule] if rule else [])
+
+
+def test_running_values_over_many_buckets(spark, monkeypatch):
+    from ledgerspark.operators import usage
+
+    rows = [(i, "ab"[i % 7 % 2], "error" if i % 11 < 7 or 40 <= i < 90 else "ok", i * 37 % 101, Decimal(i % 9) / 1000) for i in range(300)]
+    frame = spark.createDataFrame(rows, "event_id long, model string, status string, output_tokens long, cost_usd decimal(28,12)")
+    read = lambda: [sorted(map(tuple, f.collect())) for f in (usage.failure_streaks(frame), usage.running_max(frame), usage.budget_prefix(frame, F.lit("0.3").cast("decimal(28,12)")))]
+    whole = read()
+    for size in (1, 4, 13):
+        monkeypatch.setattr(usage, "BUCKET", size)
+        assert read() == whole
+    longest = max(len(list(g)) for k, g in itertools.groupby(r[2] for r in rows if r[1] == "a") if k == "error")
+    assert dict((m, n) for m, n, _ in whole[0])["a"] == longest
+
+
+def test_cumulative_weights_over_many_ranges(spark):
+    frame = spark.createDataFrame([(i, i % 5) for i in range(500)], "k long, w long").repartition(7)
+    got = sorted(map(tuple, draws.cumulative(frame, "k", "w").collect()))
+    edge, want = 0, []
+    for i in range(500):
+        want.append((i, i % 5, edge + i % 5, edge, 1000))
+        edge += i % 5
+    assert got == want
