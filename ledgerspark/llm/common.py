@@ -52,22 +52,28 @@ def discard(*frames: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: A key is hot if it has more than this share of the rows, so there are fewer hot keys than one over it.
-HOT_SHARE = 1e-3
+#: A key is hot if it has more than this share of the rows, so there are fewer hot keys than one over it, and more than
+#: this many rows.
+HOT_SHARE, HOT_LEAST = 1e-3, 100
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: list[str], count_col: str = "n", total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``groups``, which has one row for each key and the number of the key's rows.
 
     Hot keys' groups, fewer than 1 / ``HOT_SHARE``, are broadcast, so that their rows stay where they are; the others are
-    joined as usual.  Keys are not null.  The count is dropped.  ``total``: the rows, or a bound of them, if known.
+    joined as usual.  Both sides are told apart by the hot keys' hashes, which come to the driver; a key that shares its
+    hash with a hot one goes along with it on both sides.  Keys are not null.  The count is dropped.  ``total``: the rows,
+    or a bound of them, if known.
     """
     if total is None:
         total = groups.agg(F.coalesce(F.sum(count_col), F.lit(0))).first()[0]
-    least = max(1, int(total * HOT_SHARE))
-    hot, cold = groups.where(F.col(count_col) > least).drop(count_col), groups.where(F.col(count_col) <= least).drop(count_col)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+    of_key = F.xxhash64(*keys)
+    found = groups.where(F.col(count_col) > max(HOT_LEAST, int(total * HOT_SHARE))).select(of_key.alias("h")).distinct().collect() if total > HOT_LEAST else []
+    groups = groups.drop(count_col)
+    if not found:
+        return rows.join(groups, keys)
+    hot = of_key.isin([r.h for r in found])
+    return rows.where(hot).join(F.broadcast(groups.where(hot)), keys).unionByName(rows.where(~hot).join(groups.where(~hot), keys))
 
 
 def text_bytes(column: str | Column = "text") -> Column:

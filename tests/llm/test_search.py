@@ -269,3 +269,17 @@ def test_no_python_on_the_main_path(spark):
     docs = spark.createDataFrame([(1, "x")], "doc_id long, text string").where("doc_id > 0")
     plan = op6_secrets.report(docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_hot_keys_join_the_same(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerspark.llm import common
+
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(900)] + [(99, 1000)], "k long, x long")
+    groups = spark.createDataFrame([(k, f"g{k}") for k in range(7)], "k long, g string").join(rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    want = sorted((k if i % 3 else 0, i, f"g{k if i % 3 else 0}") for i, k in ((i, i % 7) for i in range(900)))
+    for least in (100, 1, 10**6):
+        monkeypatch.setattr(common, "HOT_LEAST", least)
+        got = common.spread_join(rows, groups, ["k"])
+        assert got.columns == ["k", "x", "g"] and sorted(map(tuple, got.collect())) == want
