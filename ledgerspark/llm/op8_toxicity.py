@@ -45,6 +45,8 @@ AGAINST, FAVOUR = 0.95, 0.8
 #: Trust in the given labels and the rows that it stands for; rows that a voter's equal rates stand for.
 TRUST, TRUSTED, BELIEF = 0.9, 20.0, 10.0
 THRESHOLD = 0.7
+#: Word beginnings that a task counts before it hands the counts on.
+HELD = 100_000
 #: Insults of general use, voters whatever the labels say.
 INSULTS = "idiot moron stupid dumb loser scum trash filth pathetic worthless disgusting clown imbecile cretin bastard bitch bullshit asshole arschloch dummkopf idioten miststück abschaum connard crétin salaud ordure imbécile cabrón gilipollas estúpido basura".split()
 
@@ -219,12 +221,21 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
 
     def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def told() -> pa.RecordBatch:
+            words = sorted({*seen[0], *seen[1]})
+            out = pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "n0", "n1"])
+            for c in seen:
+                c.clear()
+            return out
+
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y].update(beginnings(text))
                 seen[y][""] += 1
-        words = sorted({*seen[0], *seen[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "n0", "n1"])
+                if len(seen[0]) + len(seen[1]) > HELD:
+                    yield told()
+        yield told()
 
     counted = saved(rows.mapInArrow(mine, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "beginnings")
     n_clean, n_toxic = counted.where("word = ''").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
