@@ -259,6 +259,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, id_col
 BANDS, BAND_ROWS = 20, 3
 #: Texts and shingles in a block of a band that is compared with others as a whole, and columns of its matrices.
 BLOCK, BLOCK_SHINGLES, COLUMNS = 512, 1 << 20, 8192
+#: Texts that a task turns into signatures or shingle sets at once.
+TEXTS = 512
 #: Texts above which a band meets the text in the middle of it before all its pairs are compared.
 CENTRED = 64
 
@@ -421,12 +423,17 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = docs.select(F.unhex(F.md5(text_bytes(text_col))).alias("key"), F.col(id_col).alias("id"), row)
     source = rows.select("key", "id", text_bytes(F.col("row")[text_col]).alias("text"))
 
-    def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(2).to_pylist()
-        prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-        sets = [shingle_hashes(t, shingle) for t in texts]
-        size = pa.array([len(x) for x in sets], pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints), size, pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], names=["key", "id", "fp", "size", "bands"])
+    def sign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
+            texts = part.column(2).to_pylist()
+            prints = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
+            sizes, bands = [], []
+            for t in texts:
+                found = shingle_hashes(t, shingle)
+                sizes.append(len(found))
+                bands.append(band_keys(found))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(prints), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "id", "fp", "size", "bands"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
     signed = map_batches(source, sign, f"key binary, id {id_kind}, fp long, size long, bands array<long>")
@@ -444,9 +451,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     met = banded.join(hubs, "band").select("key", F.explode("hubs").alias("hub"))
     pairs = saved(_ordered(same.union(near).union(met)), "copy-pairs")
 
-    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [shingle_hashes(t, shingle).astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
+    def sets(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for a in range(0, batch.num_rows, TEXTS):
+            part = batch.slice(a, TEXTS)
+            found = [shingle_hashes(t, shingle).astype("<u8").tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], names=["key", "shingles"])
 
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     asked = texts.join(ends, "key").select("key", "id")
