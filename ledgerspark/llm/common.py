@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -82,6 +83,14 @@ def text_bytes(column: str | Column = "text") -> Column:
     return F.coalesce(column.cast("binary"), F.lit(b""))
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: workers outlive their tasks, and the next may need more."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """Apply a function of Arrow batches; it may return one batch or several."""
 
@@ -94,6 +103,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch |
                 yield out
             else:
                 yield from out
+        release()
 
     return df.mapInArrow(run, schema)
 

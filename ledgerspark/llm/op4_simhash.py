@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import Tokenizer
-from .common import discard, map_batches, saved, spread_join, text_bytes
+from .common import discard, map_batches, release, saved, spread_join, text_bytes
 from .graph import components
 
 BITS, SEED = 64, 42
@@ -406,6 +406,8 @@ def _all_pairs(members: DataFrame, bags: DataFrame, similarity: float) -> DataFr
                 if u != v:
                     root[u] = v
                     out.append((x, y))
+        del sets
+        release()
         return pa.table([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], names=["a", "b"])
 
     return rows.groupBy("band", "i", "j").applyInArrow(run, "a binary, b binary")

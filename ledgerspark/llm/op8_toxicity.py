@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, discard, map_batches, saved
+from .common import crc_bucket, discard, map_batches, release, saved
 
 #: Labelled rows that voters and models are fitted on, at most.
 SAMPLE = 20_000
@@ -236,6 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3
                 if len(seen[0]) + len(seen[1]) > HELD:
                     yield told()
         yield told()
+        release()
 
     counted = saved(rows.mapInArrow(mine, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "beginnings")
     n_clean, n_toxic = counted.where("word = ''").agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
