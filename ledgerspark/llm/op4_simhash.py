@@ -34,6 +34,8 @@ from .graph import components
 BITS, SEED = 64, 42
 #: Nodes in a bucket that are compared pair by pair, at most.
 BUCKET = 32
+#: Cost of a probe, which is shuffled and sorted, in candidates, which are only compared.
+PROBE = 16.0
 #: Buckets of the histograms from which candidate counts are estimated.
 HISTOGRAM = 1024
 
@@ -175,7 +177,7 @@ def make_plan(nodes: DataFrame, distance: int) -> list[Partition]:
             return 0.0
         same, but_one = agree[g]
         values = sum(comb(len(g), k) for k in range(t + 1))
-        return n * values + same + sum(comb(len(g), k) * max(0.0, but_one - same) for k in range(1, t + 1))
+        return PROBE * n * values + same + sum(comb(len(g), k) * max(0.0, but_one - same) for k in range(1, t + 1))
 
     plans = []
     for m, parts in options.items():
