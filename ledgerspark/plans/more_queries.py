@@ -143,10 +143,11 @@ def token_estimates(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", tokens.alias("tokens"), (tokens.cast("decimal(12,0)") * F.lit("0.00000014").cast("decimal(9,8)")).cast(money.COST).alias("estimate"))
 
 
-@query(f"WITH {USAGE} SELECT c.event_id, c.model, d.source FROM costs c JOIN documents d ON d.doc_id = c.event_id % 200 WHERE c.status = 'ok'")
+@query(f"WITH {USAGE} SELECT c.event_id, c.model, d.source FROM costs c JOIN documents d ON d.doc_id = c.event_id % (SELECT max(doc_id) + 1 FROM documents) WHERE c.status = 'ok'")
 def usage_correlation(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("document_id"), "source")
-    return calls(spark, d).where("status = 'ok'").withColumn("document_id", F.col("event_id") % 200).join(docs, "document_id").select("event_id", "model", "source")
+    places = docs.agg(F.max("document_id")).first()[0] + 1  # calls go round all documents
+    return calls(spark, d).where("status = 'ok'").withColumn("document_id", F.col("event_id") % places).join(docs, "document_id").select("event_id", "model", "source")
 
 
 @query("WITH w AS (SELECT c_custkey, CAST(floor(greatest(c_acctbal, 0)) AS BIGINT) + 1 AS weight FROM customer) SELECT c_custkey, (sum(weight) OVER (ORDER BY c_custkey) - weight)::BIGINT AS lo, (sum(weight) OVER (ORDER BY c_custkey))::BIGINT AS hi FROM w")

@@ -139,7 +139,7 @@ ORACLE = {
     "billing_amounts_by_model": f"""WITH {LINES}, priced AS (SELECT invoice_index, line_no, billing_model, CAST(round(p_retailprice * 100) AS BIGINT) AS price, CASE billing_model WHEN 'flat_rate' THEN 10 WHEN 'subscription' THEN 10 WHEN 'hourly_labour' THEN 5 * (1 + {h('hours', 'invoice_index', 'line_no')} % 16)
       WHEN 'metered_usage' THEN 1 + {h('volume', 'invoice_index', 'line_no')} % 5000 WHEN 'seat_based' THEN 10 * (1 + {h('seats', 'invoice_index', 'line_no')} % 20) ELSE 10 * quantity END AS tenths FROM lines JOIN part ON part_no = p_partkey)
       SELECT billing_model, count(*) AS lines, CAST(sum(tenths) * 0.1 AS DECIMAL(18,1)) AS quantity, {dec('sum((tenths * price + 5) // 10)')} AS amount FROM priced GROUP BY 1""",
-    "telecom_grouping_subtotals": f"WITH {LINES}, g AS (SELECT invoice_index, 'line-' || (1 + {h('subscriber', 'invoice_index', 'line_no')} % 3) AS group_key, billing_model AS section, line_no, cents FROM lines WHERE invoice_index % 10 = 6) SELECT invoice_index, group_key, coalesce(section, '*') AS section, min(line_no) AS first_line, {dec('sum(cents)')} AS subtotal FROM g GROUP BY GROUPING SETS ((invoice_index, group_key, section), (invoice_index, group_key))",
+    "telecom_grouping_subtotals": f"WITH {LINES}, g AS (SELECT invoice_index, 'line-' || (1 + {h('subscriber', 'invoice_index', 'line_no')} % 3) AS group_key, billing_model AS section, line_no, cents FROM lines WHERE invoice_index IN (SELECT o_orderkey FROM orders WHERE {one_of(BUSINESS_TYPES, f'o_custkey % {len(BUSINESS_TYPES)}')} = 'telecom')) SELECT invoice_index, group_key, coalesce(section, '*') AS section, min(line_no) AS first_line, {dec('sum(cents)')} AS subtotal FROM g GROUP BY GROUPING SETS ((invoice_index, group_key, section), (invoice_index, group_key))",
     "printed_row_counts": f"WITH {LINES}, {TIERED}, {PRINTED} SELECT invoice_index, count(*) FILTER (tier_index IS NULL) AS line_item_count, count(*) AS printed_row_count FROM printed GROUP BY 1",
     "billing_models_set": f"WITH {LINES} SELECT invoice_index, array_to_string(list_sort(list(DISTINCT billing_model)), ',') AS billing_models FROM lines GROUP BY 1",
     "evaluation_exact_join": f"WITH {BASES}, {EXTRACTED} SELECT g.invoice_id, {dec('g.grand')} AS golden, {dec('e.seen')} AS extracted, g.grand = e.seen AS matches FROM gold g JOIN extracted e USING (invoice_id)",

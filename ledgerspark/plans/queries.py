@@ -105,7 +105,9 @@ def billing_amounts_by_model(spark, d):
 
 @query
 def telecom_grouping_subtotals(spark, d):
-    lines = golden.parent_lines(spark, d).where("invoice_index % 10 = 6")
+    kind = F.element_at(F.array(*map(F.lit, selection.BUSINESS_TYPES)), (F.col("o_custkey") % len(selection.BUSINESS_TYPES) + 1).cast("int"))
+    phone = table(spark, d, "orders").where(kind == "telecom").select(F.col("o_orderkey").alias("invoice_index"))
+    lines = golden.parent_lines(spark, d).join(phone, "invoice_index", "left_semi")
     group = F.concat(F.lit("line-"), (1 + draws.hash52("subscriber", F.col("invoice_index"), F.col("line_no")) % 3).cast("string"))
     rows = lines.select("invoice_index", group.alias("group_key"), F.col("billing_model").alias("section"), "line_no", "amount")
     both = rows.groupingSets([["invoice_index", "group_key", "section"], ["invoice_index", "group_key"]], "invoice_index", "group_key", "section")
