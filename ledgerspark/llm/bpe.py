@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: A block of texts handled at once holds about so many bytes (or one text).
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 20
 #: Pieces of more symbols than this are merged one by one.
 WIDE = 512
 #: Cached pieces per process; beyond it the cache starts anew.
