@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_bpe_codec, op2_hpylm, op3_media, op4_simhash, op5_topk, op6_secrets, op7_packing, op8_toxicity, op9_token_counts, op10_token_files
+from . import op1_bpe_codec, op2_hpylm, op3_media, op4_simhash, op5_topk, op6_secrets, op7_packing, op8_toxicity, op9_token_counts, op10_token_files, op11_chats, op12_repair, op13_negatives
 from .common import crc_bucket, scratch
 
 OP5_SQL = """
@@ -83,6 +83,19 @@ def op10_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_token_files.read_token_files(spark, target)
 
 
+def op11_chat_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_chats.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_repair.report(op12_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return op13_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
@@ -100,6 +113,9 @@ def queries() -> dict[str, Query]:
         "op8_weak_toxicity": op8_weak_toxicity,
         "op9_token_counts": op9_token_counts_query,
         "op10_rans_token_files": op10_rans_token_files,
+        "op11_chat_formats": op11_chat_formats,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -107,4 +123,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_topk": OP5_SQL,
         "op6_secret_scan": op6_secrets.oracle(),
+        "op11_chat_formats": op11_chats.oracle(),
+        "op13_hard_negatives": op13_negatives.ORACLE_SQL,
     }
