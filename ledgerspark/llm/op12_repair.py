@@ -19,8 +19,8 @@ A conversation's rows wait for its last one in memory, or in the task's own temp
 conversation of any length takes 4 bytes of memory a row; that one task reads it all is in the nature of a hash over it.
 
 Cases: a null id is a conversation of its own; null turns sort first and take no part in gaps; rows of equal turns sort by
-role and text; null roles and texts count as one space; conversations without rows have zeros, an empty audit and no
-turns; other columns are ignored, whatever their names.
+role and text; null roles and texts count as one space; an empty role has no initial, so its row is given a role or goes;
+conversations without rows have zeros, an empty audit and no turns; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ class Conversation:
 
     def __init__(self, key, layers: Layers) -> None:
         self.key, self.layers, self.layer, self.cost = key, layers, FIRST, 0
-        self.moves, self.rows, self.held, self.file = array("L"), [], 0, None
+        self.moves, self.rows, self.held, self.file = array("I"), [], 0, None
         self.first = self.last = self.initial = None
         self.turns = self.blank = self.repeated = self.unfinished = self.illegal = 0
 

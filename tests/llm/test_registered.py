@@ -7,7 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = [f"op{n}_" for n in range(1, 11)]
+NAMES = [f"op{n}_" for n in range(1, 14)]
 
 
 def test_all_are_registered():
@@ -15,10 +15,10 @@ def test_all_are_registered():
     assert all(sum(n.startswith(p) for n in names) == 1 for p in NAMES) and "pipeline" in names
 
 
-@pytest.mark.parametrize("name", ["op5_exact_topk", "op6_secret_scan"])
+@pytest.mark.parametrize("name", ["op5_exact_topk", "op6_secret_scan", "op11_chat_formats", "op13_hard_negatives"])
 def test_same_as_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     got, want = entry.queries()[name](spark, sf), c.sql(entry.oracle_sql()[name])
     at = [want.columns.index(n) for n in got.columns]
