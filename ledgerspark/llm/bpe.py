@@ -9,7 +9,10 @@ plain lists.
 
 Texts are split into pieces with array operations over the code points of a
 block of documents; equal pieces of a block are encoded once, and a bounded
-per-process cache keeps the encodings of pieces seen before.
+per-process cache keeps the encodings of pieces seen before.  Pieces are told
+apart exactly: the key of one of up to seven bytes holds them all, a longer
+one's is a hash, and behind equal hashes bytes are compared; pieces that only
+share a hash are encoded by themselves.
 
 Defined cases: a null text counts as the empty text, which has no ids; special
 strings inside a text become their special id, as the tokenizer file says.
@@ -31,6 +34,8 @@ BLOCK_BYTES = 1 << 20
 WIDE = 512
 #: Cached pieces per process; beyond it the cache starts anew.
 CACHE_PIECES = 1_500_000
+#: Keys of long pieces start here.
+LONG = np.uint64(1 << 63)
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 # The code points of Unicode's White_Space.
@@ -265,6 +270,10 @@ class Tokenizer:
         self.known = np.empty(0, np.uint64)
         self.known_len = np.empty(0, np.int64)
         self.known_start = np.empty(0, np.int64)
+        # sizes of pieces, and where the bytes of long ones are
+        self.known_size, self.known_at = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.known_bytes = np.zeros(8, np.uint8)
+        self.odd = 0
         self.known_ids = np.empty(0, np.uint16 if self.size < 65536 else np.uint32)
 
     # -- pieces ---------------------------------------------------------
@@ -358,6 +367,35 @@ class Tokenizer:
             if not len(sel):
                 return h
 
+    @classmethod
+    def keys(cls, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """A key of every piece, never 0: of up to seven bytes one to one, of longer pieces a hash with the highest bit set."""
+        words = np.ndarray((len(buf) - 7,), "<u8", buf, 0, (1,))
+        size = size.astype(np.uint64)
+        short = size <= 7
+        x = words[first] & ((np.uint64(1) << np.uint64(8) * np.minimum(size, np.uint64(7))) - np.uint64(1)) | size << np.uint64(56)
+        # steps that can be undone in 63 bits spread the keys
+        x = x * np.uint64(0xD6E8FEB86659FD93) & (LONG - np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x = x * np.uint64(0x9E3779B97F4A7C15) & (LONG - np.uint64(1))
+        long = np.flatnonzero(~short)
+        if len(long):
+            x[long] = cls.hashes(buf, first[long], size[long].astype(np.int64)) | LONG
+        return x
+
+    @staticmethod
+    def same(buf: np.ndarray, first: np.ndarray, other: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the bytes of pieces of equal sizes are equal, eight at a time."""
+        a, b = (np.ndarray((len(x) - 7,), "<u8", x, 0, (1,)) for x in (buf, other))
+        masks = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+        equal, todo, step = np.ones(len(first), bool), np.arange(len(first)), 0
+        while len(todo):
+            differs = (a[first[todo] + step] ^ b[at[todo] + step]) & masks[np.minimum(size[todo] - step, 8)] != 0
+            equal[todo[differs]] = False
+            step += 8
+            todo = todo[~differs & (size[todo] > step)]
+        return equal
+
     # -- encoding -------------------------------------------------------
 
     def encode_pieces(self, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -393,33 +431,59 @@ class Tokenizer:
         return flat, counts
 
     def distinct(self, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the distinct pieces, ascending; a place where each occurs; the distinct piece of every piece."""
-        h = self.hashes(buf, first, size)
+        """Keys of the distinct pieces, ascending; a place where each occurs; the distinct piece of every piece.
+
+        Pieces that share their key with another piece follow with the key 0, each by itself.
+        """
+        h = self.keys(buf, first, size)
         order = sort_order(h)
         ranked = h[order]
         head = np.ones(len(h), bool)
         head[1:] = ranked[1:] != ranked[:-1]
         inverse = np.empty(len(h), np.int64)
         inverse[order] = np.cumsum(head) - 1
-        return ranked[head], order[head], inverse
-
-    def cached(self, uniq: np.ndarray, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Cache place of distinct pieces, after encoding those the cache lacks."""
-        if len(self.known) + len(uniq) > CACHE_PIECES:
+        uniq, where = ranked[head], order[head]
+        long = np.flatnonzero(h >= LONG)
+        stands = where[inverse[long]]
+        equal = size[long] == size[stands]
+        equal[equal] = self.same(buf, first[long[equal]], buf, first[stands[equal]], size[long[equal]])
+        if not equal.all():
+            odd = long[~equal]
+            inverse[odd] = len(uniq) + np.arange(len(odd))
+            uniq, where = np.append(uniq, np.zeros(len(odd), np.uint64)), np.append(where, odd)
+        return uniq, where, inverse
+
+    def cached(self, uniq: np.ndarray, buf: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start in ``known_ids`` and number of ids of distinct pieces, after encoding those that the cache lacks."""
+        if len(self.known) + self.odd + len(uniq) > CACHE_PIECES:
             self._forget()
         slot = np.searchsorted(self.known, uniq)
-        missing = np.ones(len(uniq), bool)
-        inside = slot < len(self.known)
-        missing[inside] = self.known[slot[inside]] != uniq[inside]
+        hit = slot < len(self.known)
+        hit[hit] = self.known[slot[hit]] == uniq[hit]
+        new = ~hit & (uniq > 0)
+        # behind the key of a long piece another one may be known
+        long = np.flatnonzero(hit & (uniq >= LONG))
+        at = slot[long]
+        equal = self.known_size[at] == size[long]
+        equal[equal] = self.same(buf, first[long[equal]], self.known_bytes, self.known_at[at[equal]], size[long[equal]])
+        hit[long[~equal]] = False
+        start, lens = np.empty(len(uniq), np.int64), np.empty(len(uniq), np.int64)
+        start[hit], lens[hit] = self.known_start[slot[hit]], self.known_len[slot[hit]]
+        missing = ~hit
         if missing.any():
             ids, counts = self.encode_pieces(buf, first[missing], size[missing])
-            place = slot[missing]
-            self.known_start = np.insert(self.known_start, place, len(self.known_ids) + np.cumsum(counts) - counts)
-            self.known_len = np.insert(self.known_len, place, counts)
-            self.known = np.insert(self.known, place, uniq[missing])
+            start[missing], lens[missing] = len(self.known_ids) + np.cumsum(counts) - counts, counts
             self.known_ids = np.concatenate([self.known_ids, ids])
-            slot = np.searchsorted(self.known, uniq)
-        return slot
+            place = slot[new]
+            kept = np.where(uniq[new] >= LONG, size[new], 0)
+            self.known_start = np.insert(self.known_start, place, start[new])
+            self.known_len = np.insert(self.known_len, place, lens[new])
+            self.known_at = np.insert(self.known_at, place, len(self.known_bytes) - 8 + np.cumsum(kept) - kept)
+            self.known_size = np.insert(self.known_size, place, size[new])
+            self.known = np.insert(self.known, place, uniq[new])
+            self.known_bytes = np.concatenate([self.known_bytes[:-8], buf[ragged(first[new], kept)], np.zeros(8, np.uint8)])
+            self.odd += int(missing.sum() - new.sum())
+        return start, lens
 
     def _segments(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray | None, np.ndarray | None]:
         """Texts, or where special strings occur the segments between them with their text's number."""
@@ -438,9 +502,9 @@ class Tokenizer:
         buf, first, size, per_text = self.pieces(parts)
         if len(first):
             uniq, where, inverse = self.distinct(buf, first, size)
-            slot = self.cached(uniq, buf, first[where], size[where])
-            lens = self.known_len[slot][inverse]
-            ids = self.known_ids[ragged(self.known_start[slot][inverse], lens)] if with_ids else None
+            start, found = self.cached(uniq, buf, first[where], size[where])
+            lens = found[inverse]
+            ids = self.known_ids[ragged(start[inverse], lens)] if with_ids else None
         else:
             lens, ids = np.empty(0, np.int64), np.empty(0, self.known_ids.dtype)
         total = np.concatenate([[0], np.cumsum(lens)])

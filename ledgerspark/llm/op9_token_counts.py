@@ -106,17 +106,17 @@ def _one_row(pieces: list[bytes], counts: list[int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([pieces], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names=["pieces", "counts"])
 
 
-def length_table(pieces: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Compact table of pieces: ascending hashes and numbers of ids."""
+def length_table(pieces: list[bytes], path: str) -> tuple[np.ndarray, ...]:
+    """Compact table of pieces: ascending keys, numbers of ids, sizes, and where in the last array their bytes are."""
     t = bpe.tokenizer(path)
     size = np.array([len(p) for p in pieces], np.int64)
     if not len(size):
-        return np.empty(0, np.uint64), np.empty(0, np.uint16)
+        return np.empty(0, np.uint64), np.empty(0, np.uint16), size, size, np.zeros(16, np.uint8)
     first = np.cumsum(size) - size
     buf = np.frombuffer(b"".join(pieces) + bytes(16), np.uint8)
-    hashes = t.hashes(buf, first, size)
-    order = np.argsort(hashes)
-    return hashes[order], t.encode_pieces(buf, first, size)[1][order].astype(np.uint16)
+    keys = t.keys(buf, first, size)
+    order = np.argsort(keys)
+    return keys[order], t.encode_pieces(buf, first, size)[1][order].astype(np.uint16), size[order], first[order], buf
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,7 +124,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     table = docs.sparkSession.sparkContext.broadcast(length_table(frequent_pieces(docs, path, text_col), path))
 
     def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        t, (known, lengths) = bpe.tokenizer(path), table.value
+        t, (known, lengths, sizes, at, raw) = bpe.tokenizer(path), table.value
         texts = batch.column(1).to_pylist()
         for a, b in bpe.blocks(texts):
             parts, owner, special = t._segments(texts[a:b])
@@ -135,11 +135,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
                 slot = np.searchsorted(known, uniq)
                 hit = slot < len(known)
                 hit[hit] = known[slot[hit]] == uniq[hit]
+                long = np.flatnonzero(hit & (uniq >= bpe.LONG))
+                equal = sizes[slot[long]] == size[where[long]]
+                equal[equal] = t.same(buf, first[where[long[equal]]], raw, at[slot[long[equal]]], size[where[long[equal]]])
+                hit[long[~equal]] = False
                 lens = np.empty(len(uniq), np.int64)
                 lens[hit] = lengths[slot[hit]]
                 rest = np.flatnonzero(~hit)
-                place = t.cached(uniq[rest], buf, first[where[rest]], size[where[rest]])
-                lens[rest] = t.known_len[place]
+                lens[rest] = t.cached(uniq[rest], buf, first[where[rest]], size[where[rest]])[1]
                 total = np.concatenate([[0], np.cumsum(lens[inverse])])
                 counts = np.diff(total[np.concatenate([[0], np.cumsum(per_text)])])
             if owner is not None:

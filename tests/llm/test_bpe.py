@@ -1,5 +1,6 @@
 """Encoding and decoding against the tokenizers library."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -81,3 +82,38 @@ def test_the_table_changes_no_count(spark):
     own = bpe.Tokenizer(tokenizer_file(BYTE))
     got = {r.doc_id: r.n_tokens for r in op9_token_counts.count_tokens(docs, tokenizer_file(BYTE)).collect()}
     assert got == {r.doc_id: int(own.count([r.text.encode()])[0]) for r in docs.collect()}
+
+
+#: Two pieces of sixteen bytes whose hashes are equal.
+TWINS = ("judgemeanstatute", "baPHeYqgWhdHKqSx")
+
+
+def test_pieces_with_equal_hashes_are_told_apart(spark):
+    lib, path = tokenizers.Tokenizer.from_file(tokenizer_file(BYTE)), tokenizer_file(BYTE)
+    ids = lambda t: lib.encode(t, add_special_tokens=False).ids
+    a, b = TWINS
+    raw = np.frombuffer((a + b).encode() + bytes(16), np.uint8)
+    assert len(set(bpe.Tokenizer.hashes(raw, np.array([0, 16]), np.array([16, 16])).tolist())) == 1
+    own = bpe.Tokenizer(path)
+    # in one block, then across blocks through the cache, in both orders
+    for block in ([f"{a}\n{b}", f"{b}\n{a}"], [b], [a, b], [f"{a} {a}\n{b}\n{b}"]):
+        for tokenizer in (own, bpe.Tokenizer(path)):
+            got = tokenizer.encode([t.encode() for t in block])
+            assert [p.tolist() for p in np.split(got.ids, np.cumsum(got.counts)[:-1])] == [ids(t) for t in block]
+            assert tokenizer.count([t.encode() for t in block]).tolist() == [len(ids(t)) for t in block]
+    # and against the broadcast table, which knows one of them
+    rows = [(n, f"{a}\n{a}\n{b}" if n < 5 else b) for n in range(10)]
+    counted = op9_token_counts.count_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path)
+    assert {r.doc_id: r.n_tokens for r in counted.collect()} == {n: len(ids(t)) for n, t in rows}
+
+
+def test_digests_are_the_library_s(spark):
+    lib = tokenizers.Tokenizer.from_file(tokenizer_file(BYTE))
+    rows = list(enumerate([*texts()[:120], None, "\n".join(TWINS), "long text " * 50_000]))
+    got = op1_bpe_codec.round_trip_digests(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_file(BYTE))
+    want = {}
+    for n, t in rows:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        back = lib.decode(ids, skip_special_tokens=False)
+        want[n] = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect()} == want
