@@ -142,7 +142,12 @@ def _moments(nodes: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _collisions(nodes: DataFrame, masks: list[int], n: int) -> list[float]:
-    """Estimated number of ordered pairs (each node with itself included) that agree on a mask, for every mask."""
+    """Estimated comparisons for every mask: ordered pairs (each node with itself included) that agree on it, or in a large
+    bucket the rows of its midpoints.
+
+    Nodes are counted by a hash of their masked bits.  What an entry has beyond an even share, if more than chance gives,
+    is taken for one bucket.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(masks), HISTOGRAM), np.int64)
@@ -156,8 +161,11 @@ def _collisions(nodes: DataFrame, masks: list[int], n: int) -> list[float]:
         yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(b, pa.int32()), pa.array(total[k, b])], names=["k", "b", "n"])
 
     counted = nodes.select("fp").mapInArrow(rows, "k int, b int, n long").groupBy("k", "b").agg(F.sum("n").alias("n"))
-    squares = {r.k: float(r.s) for r in counted.groupBy("k").agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("s")).collect()}
     even = n * n / HISTOGRAM
+    share = n / HISTOGRAM
+    beyond = F.col("n").cast("double") - share
+    pairs = F.when(beyond > BUCKET + 6 * share**0.5, share * share + beyond * (BITS + 1)).otherwise(F.col("n").cast("double") * F.col("n"))
+    squares = {r.k: float(r.s) for r in counted.groupBy("k").agg(F.sum(pairs).alias("s")).collect()}
     return [max(float(n), (squares.get(k, 0.0) - even) / (1 - 1 / HISTOGRAM)) for k in range(len(masks))]
 
 
