@@ -30,29 +30,39 @@ def pick(name: str, options: list, *keys: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, options)), (hash52(name, *keys) % len(options) + 1).cast("int"))
 
 
+#: Key ranges that weights are summed up in, each by itself.
+RANGES = 256
+
+
 def cumulative(weights: DataFrame, key: str, weight: str) -> DataFrame:
     """Integer weights as half-open ranges in the order of the key: adds ``lo``, ``hi`` and ``total``.
 
-    Rows are cut into key ranges; each range sums up its own rows, and only the ranges' sums, one row a partition, meet
-    in one task.
+    Rows are cut into at most ``RANGES`` key ranges at bounds that are settled first; each range sums up its own rows, and
+    only the ranges' sums meet in one task.
     """
-    cut = weights.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
-    sums = cut.groupBy("_part").agg(F.sum(weight).alias("_sum"), F.min(key).alias("_first"))
-    order = Window.orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
+    share = min(1.0, 65_536 / max(1, weights.count()))
+    marks = [r[0] for r in weights.sample(share, seed=1).select(key).distinct().orderBy(key).collect()]
+    bounds = sorted({marks[i * len(marks) // RANGES] for i in range(1, RANGES)}) if len(marks) > RANGES else []
+    # the number of bounds at or below the key
+    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    cut = weights.withColumn("_part", place)
+    sums = cut.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(1))).alias("total"))
     running = F.sum(weight).over(Window.partitionBy("_part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    # one row a partition, so the broadcast is bounded by their number
+    # one row a range, so the broadcast is bounded by their number
     out = cut.join(F.broadcast(starts), "_part").withColumn("hi", F.col("_start") + running)
     return out.withColumn("lo", F.col("hi") - F.col(weight)).select(*weights.columns, "hi", "lo", "total")
 
 
-def weighted_draw(rows: DataFrame, draw: Column, ranges: DataFrame, total: int, buckets: int = 1024) -> DataFrame:
+def weighted_draw(rows: DataFrame, draw: Column, ranges: DataFrame, total: int, buckets: int | None = None) -> DataFrame:
     """Join each row to the range its draw falls in.
 
-    Ranges are exploded into the integer buckets they touch, which turns the range join into an equi-join with a
-    residual predicate; the work is linear in rows, however many ranges there are.
+    Ranges are exploded into the integer buckets they touch, as many buckets as ranges if none are given, which turns the
+    range join into an equi-join with a residual predicate: there are at most twice as many entries as ranges, and a row
+    meets two of them on average.
     """
-    width = max(1, -(-total // buckets))
+    width = max(1, -(-total // (buckets or max(1, ranges.count()))))
     point = rows.withColumn("_point", F.pmod(draw, F.lit(total))).withColumn("_bucket", F.expr(f"_point div {width}"))
     spread = ranges.where("hi > lo").withColumn("_bucket", F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     hit = point.join(spread, "_bucket").where((F.col("_point") >= F.col("lo")) & (F.col("_point") < F.col("hi")))

@@ -37,9 +37,14 @@ def within_ceiling(items: DataFrame, key: str, text: str, ceiling: float = 0.02)
     return row.items == 0 or row.rejected / row.items <= ceiling
 
 
+def digest(text: Column) -> Column:
+    """What stands for a text as a key: 32 bytes, however long it is."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def duplicate_groups(items: DataFrame, key: str, text: str) -> DataFrame:
     """Groups of items that are equal once normalised: least key and size (no group is gathered)."""
-    groups = items.select(key, normalised(F.col(text)).alias("norm")).groupBy("norm")
+    groups = items.select(key, digest(normalised(F.col(text))).alias("norm")).groupBy("norm")
     return groups.agg(F.min(key).alias("first_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "n")
 
 
@@ -49,5 +54,5 @@ def duplicate_totals(items: DataFrame, key: str, text: str) -> DataFrame:
 
 def first_wins(items: DataFrame, within: list[str], name: Column, order: list[str]) -> DataFrame:
     """The first item of each name inside a group."""
-    w = Window.partitionBy(*within, name).orderBy(*order)
+    w = Window.partitionBy(*within, digest(name.cast("string"))).orderBy(*order)
     return items.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")

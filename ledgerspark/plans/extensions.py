@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import findings_of_stripped, stripped
 from ..operators import catalogue, gates
 from .engine import Engine, RunSpec
 
@@ -87,3 +88,33 @@ def fill(skeleton: DataFrame, provider: Provider, key: str = "item_id", column:
         if waiting.isEmpty():
             break
     return done.unionByName(waiting), waiting.count()
+
+
+def judged(skeleton: DataFrame, column: str, reply: str, band_fits: Column) -> DataFrame:
+    """A skeleton with its replies laid over where they are usable, and what became of each: ``filled``, ``rejected`` (the
+    reply breaks a rule) and ``bad_band`` (filled, but the price band doesn't fit)."""
+    said = stripped(F.coalesce(F.col(reply), F.lit("")))
+    ready = skeleton.withColumn("_said", said).withColumn("_bad", F.size(findings_of_stripped(F.col("_said"))) > 0)
+    ready = ready.withColumn("rejected", (F.col("_said") != "") & F.col("_bad")).withColumn("filled", (F.col("_said") != "") & ~F.col("_bad"))
+    laid = ready.withColumn("bad_band", F.col("filled") & ~band_fits)
+    return laid.withColumn(column, F.when(F.col("filled"), F.col("_said")).otherwise(F.col(column))).drop("_said", "_bad", reply)
+
+
+def _measures() -> list[Column]:
+    count = lambda c: F.count(F.when(c, 1))
+    filled = count(F.col("filled"))
+    return [F.count("*").alias("products"), filled.alias("llm_filled"), count(~F.col("filled")).alias("procedural_fallback"), count(F.col("rejected")).alias("rejected_descriptions"), count(F.col("bad_band")).alias("bad_price_bands")]
+
+
+def build_report(rows: DataFrame) -> DataFrame:
+    """Counts of a judged build and the filled fraction to four decimals (0 of nothing)."""
+    share = F.when(F.col("products") == 0, F.lit(0)).otherwise(F.round(F.col("llm_filled") * 10000 / F.col("products"), 0))
+    return rows.agg(*_measures()).withColumn("llm_fraction", (share.cast("decimal(9,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(9,4)"))
+
+
+def write_with_report(rows: DataFrame, path: str) -> dict:
+    """Write a judged build; its report is counted while the rows are written, without another pass."""
+    seen = Observation("build")
+    rows.observe(seen, *_measures()).drop("rejected", "bad_band").write.mode("overwrite").parquet(path)
+    report = dict(seen.get)
+    return report | {"llm_fraction": round(report["llm_filled"] / report["products"], 4) if report["products"] else 0.0}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..functions.text import ACCENTED, DIGITS, EMAIL, ENTITY, MARKETING, MARKUP, PERSON, PLAIN, PREAMBLE, SAFE_DOMAINS, URL
-from ..operators.catalogue import MARKETS, PRICE_BANDS, SLOTS
 from ..operators.golden import BANDS, JURISDICTIONS, LINE_ORDER, MODELS
 from ..operators.routing import MIX
 from ..operators.selection import BUSINESS_TYPES
@@ -100,16 +99,6 @@ costs AS (
 COST = "CAST(CAST({0} AS DECIMAL(26,0)) * 0.00000000001 AS DECIMAL(28,12))"
 NANO = "(e11 + 50) // 100"
 UNITS = "units AS (SELECT o_orderkey AS unit_index, ['pending', 'running', 'done'][o_orderkey % 3 + 1] AS state, CAST(o_orderdate AS TIMESTAMP) AS lease_until FROM orders)"
-_SIZES = [len(v) for v in SLOTS.values()]
-
-
-def _space() -> str:
-    names = list(SLOTS)
-    parts = ", ".join(values([(i, en, fr or en) for i, (en, fr) in enumerate(SLOTS[s])], f"{s}_no, {s}, {s}_fr") + f" {s}_t" for s in names)
-    number = "0"
-    for s in names:
-        number = f"({number} * {len(SLOTS[s])} + {s}_no)"
-    return f"space AS (SELECT CAST({number} AS BIGINT) AS combination, finish || ' ' || material || ' ' || item || ' ' || size AS description, item_fr || ' ' || material_fr || ' ' || finish_fr || ' ' || size_fr AS description_fr FROM {parts})"
 
 
 def _amount(symbol: bool) -> str:
@@ -185,22 +174,10 @@ ORACLE = {
     "identifiers": "SELECT o_orderkey, format('inv_{:08d}', o_orderkey) AS invoice_id, format('c{:06d}', o_custkey) AS company_id, format('INV-{:d}-{:06d}', year(o_orderdate), o_orderkey) AS invoice_number, format('unit-{:06d}', o_orderkey // 1000) AS unit_key FROM orders",
     "names_and_slugs": f"SELECT c_custkey, upper(array_to_string(list_transform(list_filter(regexp_split_to_array(c_name, '[#\\s]+'), lambda w: w <> '')[1:2], lambda w: w[1]), '')) AS initials, trim(regexp_replace(translate(lower(c_name), {q(ACCENTED)}, {q(PLAIN)}), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer",
     "label_lookup_fallback": f"WITH l AS {values([('en', 'standard', 'total', 'Total'), ('en', 'standard', 'tax', 'Tax'), ('en', 'telecom', 'total', 'Amount due'), ('fr', 'standard', 'total', 'Total TTC'), ('fr', 'standard', 'tax', 'TVA'), ('fr', 'telecom', 'tax', 'Taxes')], 'lang, vocabulary, label, shown')}, w AS (SELECT a.lang, v.vocabulary, k.label FROM (VALUES ('en'), ('fr')) a(lang), (VALUES ('standard'), ('telecom'), ('legal')) v(vocabulary), (VALUES ('total'), ('tax')) k(label)) SELECT w.lang, w.vocabulary, w.label, coalesce(x.shown, s.shown) AS shown, x.shown IS NULL AS fallback FROM w LEFT JOIN l x ON x.lang = w.lang AND x.vocabulary = w.vocabulary AND x.label = w.label LEFT JOIN l s ON s.lang = w.lang AND s.vocabulary = 'standard' AND s.label = w.label",
-    "parse_llm_json": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'item ' || event_id END AS name FROM events",
     "band_coercion": "WITH b AS (SELECT event_id, CAST(value AS DECIMAL(18,6)) AS lo, CAST(CAST(value AS DECIMAL(18,6)) * [1, 2, 7, 0][event_id % 4 + 1] AS DECIMAL(18,6)) AS hi FROM events) SELECT event_id, CASE WHEN lo > 0 AND hi >= lo AND lo >= 0.5 AND hi <= 600 AND hi <= lo * 6 THEN CAST(lo AS DECIMAL(18,4)) END AS low, CASE WHEN lo > 0 AND hi >= lo AND lo >= 0.5 AND hi <= 600 AND hi <= lo * 6 THEN CAST(hi AS DECIMAL(18,4)) END AS high FROM b",
-    "catalogue_space": f"SELECT CAST({_SIZES[0]} * {_SIZES[1]} * {_SIZES[2]} * {_SIZES[3]} AS BIGINT) AS combinations, CAST({sum(_SIZES)} AS BIGINT) AS \"values\"",
-    "catalogue_untranslated": f"SELECT slot, string_agg(en, '|' ORDER BY en) AS missing FROM {values([(s, en, fr) for s, v in SLOTS.items() for en, fr in v], 'slot, en, fr')} WHERE fr IS NULL GROUP BY 1",
-    "catalogue_companies": f"SELECT i AS company_no, format('c{{:06d}}', i) AS company_id, {one_of([m[0] for m in MARKETS], 'i % 6')} AS jurisdiction, {one_of([m[1] for m in MARKETS], 'i % 6')} AS locale, {one_of([m[2] for m in MARKETS], 'i % 6')} AS currency, {one_of(BUSINESS_TYPES, 'i % 10')} AS business_type, {h('weight', 'i')} AS weight_draw FROM range((SELECT count(*) FROM customer)) t(i)",
-    "catalogue_products": f"""WITH {_space()}, c AS (SELECT i AS company_no, format('c{{:06d}}', i) AS company_id, {one_of(BUSINESS_TYPES, 'i % 10')} AS business_type FROM range((SELECT count(*) FROM supplier)) t(i)),
-      r AS (SELECT *, row_number() OVER (PARTITION BY company_no ORDER BY {h('product', 'company_no', 'combination')}, combination) AS nth FROM c, space),
-      b AS {values([(k, round(float(a) * 10000), round(float(z) * 10000)) for k, (a, z) in PRICE_BANDS.items()], 'business_type, lo, hi')},
-      p AS (SELECT *, (lo::BIGINT * 10000 + (hi - lo)::BIGINT * 9 * ({h('price', 'company_no', 'combination')} % 1000) + 5000) // 10000 AS low FROM r JOIN b USING (business_type) WHERE nth <= 12),
-      z AS (SELECT *, (low * (1100 + {h('spread', 'company_no', 'combination')} % 1101) + 500) // 1000 AS high FROM p)
-      SELECT company_no, company_id || '-' || format('{{:05d}}', nth - 1) AS sku_id, combination, description, description_fr, CAST(low * 0.0001 AS DECIMAL(18,4)) AS price_low, CAST(high * 0.0001 AS DECIMAL(18,4)) AS price_high FROM z""",
     "catalogue_overlay": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'generated ' || p_partkey ELSE p_name END AS p_name, p_partkey % 4 = 1 AS filled FROM part",
     "orphan_companies": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "quarantine_union": "SELECT DISTINCT model FROM (SELECT ['deepseek-v4-flash', 'qwen3.5-flash', 'claude-haiku-4-5', 'local'][user_id % 4 + 1] AS model FROM events WHERE event_type = 'error' UNION ALL SELECT 'local')",
-    "page_fill": f"WITH {LINES}, {TIERED}, {PRINTED} SELECT invoice_index, count(*) AS printed, (count(*) + 53) // 54 AS pages, count(*) - 54 * ((count(*) - 1) // 54) AS last_page_rows FROM printed GROUP BY 1",
-    "spanning_sections": f"WITH {LINES}, s AS (SELECT billing_model, count(*) AS n FROM lines GROUP BY 1), t AS (SELECT billing_model, n, sum(n) OVER (ORDER BY billing_model) - n AS top FROM s) SELECT billing_model, CAST(top // 54 AS BIGINT) AS first_page, CAST((top + n - 1) // 54 AS BIGINT) AS last_page FROM t",
     "render_html_documents": f"WITH {BASES}, a AS (SELECT invoice_index, invoice_number, locale, currency, {dec('grand')} AS v, company_id FROM gold) SELECT invoice_index, '<article><h1>' || invoice_number || '</h1><p>' || company_id || ' &amp; Co &lt;' || locale || '&gt;</p><p class=\"total\">' || ({_amount(True)}) || '</p></article>' AS html FROM a",
     "usage_stream_rollup": "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS calls, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY 1, 2",
 }

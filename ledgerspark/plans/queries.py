@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import draws, locale, money, text
@@ -279,7 +279,7 @@ def duplicate_totals(spark, d):
 
 @query
 def first_wins_dedup(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source", text.normalised(F.col("text")).alias("norm"))
+    docs = table(spark, d, "documents").select("doc_id", "source", gates.digest(text.normalised(F.col("text"))).alias("norm"))
     return docs.groupBy("source", "norm").agg(F.min("doc_id").alias("doc_id")).select("source", "doc_id")
 
 
@@ -368,14 +368,6 @@ def label_lookup_fallback(spark, d):
     return joined.select("lang", "vocabulary", "label", strict.alias("shown"), F.col("own").isNull().alias("fallback"))
 
 
-@query
-def parse_llm_json(spark, d):
-    fenced = F.concat(F.lit("```json\n[{\"k\": "), F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(", \"nom\": \"item "), F.col("event_id").cast("string"), F.lit("\""))), F.lit("}]\n```"))
-    bare = F.regexp_replace(fenced, r"^```[a-z]*\s*|\s*```$", "")
-    item = F.element_at(F.from_json(bare, "array<struct<k:bigint,name:string,nom:string>>"), 1)
-    return table(spark, d, "events").select("event_id", item["k"].alias("k"), F.coalesce(item["name"], item["nom"]).alias("name"))
-
-
 @query
 def band_coercion(spark, d):
     low = F.col("value").cast("decimal(18,6)")
@@ -384,27 +376,6 @@ def band_coercion(spark, d):
     return table(spark, d, "events").select("event_id", band["low"].alias("low"), band["high"].alias("high"))
 
 
-@query
-def catalogue_space(spark, d):
-    return catalogue.space_size(spark)
-
-
-@query
-def catalogue_untranslated(spark, d):
-    return catalogue.untranslated(spark)
-
-
-@query
-def catalogue_companies(spark, d):
-    made = catalogue.companies(spark, 0, table(spark, d, "customer").count())
-    return made.withColumn("weight_draw", draws.hash52("weight", F.col("company_no"))).drop("weight")
-
-
-@query
-def catalogue_products(spark, d):
-    return catalogue.products(spark, catalogue.companies(spark, 0, table(spark, d, "supplier").count()), 12)
-
-
 @query
 def catalogue_overlay(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_name")
@@ -423,20 +394,6 @@ def quarantine_union(spark, d):
     return failed.union(spark.createDataFrame([("local",)], "model string")).distinct()
 
 
-@query
-def page_fill(spark, d):
-    n = F.col("printed")
-    counts = golden.printed_rows(spark, d).groupBy("invoice_index").agg(F.count("*").alias("printed"))
-    return counts.select("invoice_index", "printed", F.expr("(printed + 53) div 54").alias("pages"), (n - 54 * F.expr("(printed - 1) div 54")).alias("last_page_rows"))
-
-
-@query
-def spanning_sections(spark, d):
-    counts = golden.parent_lines(spark, d).groupBy("billing_model").agg(F.count("*").alias("n"))
-    top = counts.withColumn("top", F.sum("n").over(Window.orderBy("billing_model")) - F.col("n"))  # a row for each billing model
-    return top.select("billing_model", F.expr("top div 54").alias("first_page"), F.expr("(top + n - 1) div 54").alias("last_page"))
-
-
 @query
 def render_html_documents(spark, d):
     shown = locale.format_amount(F.col("grand_total"), F.col("currency"), F.col("locale"))

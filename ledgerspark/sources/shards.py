@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DateType, DecimalType, StringType, StructField, StructType, TimestampType
 
 
-def _tag(kind: DataType) -> str | None:
+def tag_of(kind: DataType) -> str | None:
     if isinstance(kind, DecimalType):
         return "__decimal__"
     if isinstance(kind, DateType | TimestampType):
@@ -17,18 +17,23 @@ def _tag(kind: DataType) -> str | None:
 
 def tagged_schema(schema: StructType) -> StructType:
     """The schema of a shard's JSON: decimals and dates are objects that hold their text."""
-    return StructType([StructField(f.name, StructType([StructField(t, StringType())]) if (t := _tag(f.dataType)) else f.dataType) for f in schema])
+    return StructType([StructField(f.name, StructType([StructField(t, StringType())]) if (t := tag_of(f.dataType)) else f.dataType) for f in schema])
 
 
-def encode(df: DataFrame) -> DataFrame:
-    """Rows as tagged JSON lines, nulls included."""
+def encoded_row(df: DataFrame) -> Column:
+    """The column that holds a row as a tagged JSON line, nulls included."""
 
     def one(f: StructField) -> Column:
-        tag = _tag(f.dataType)
+        tag = tag_of(f.dataType)
         c = F.col(f"`{f.name}`")
         return F.when(c.isNotNull(), F.struct(c.cast("string").alias(tag))).alias(f.name) if tag else c
 
-    return df.select(F.to_json(F.struct(*map(one, df.schema)), {"ignoreNullFields": "false"}).alias("value"))
+    return F.to_json(F.struct(*map(one, df.schema)), {"ignoreNullFields": "false"})
+
+
+def encode(df: DataFrame) -> DataFrame:
+    """Rows as tagged JSON lines."""
+    return df.select(encoded_row(df).alias("value"))
 
 
 def write_shards(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,7 +44,7 @@ def write_shards(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """Shards with their declared types back; an unknown shape fails."""
     raw = spark.read.schema(tagged_schema(schema)).option("mode", "FAILFAST").json(path)
-    back = [F.col(f"`{f.name}`.`{t}`").cast(f.dataType).alias(f.name) if (t := _tag(f.dataType)) else F.col(f"`{f.name}`") for f in schema]
+    back = [F.col(f"`{f.name}`.`{t}`").cast(f.dataType).alias(f.name) if (t := tag_of(f.dataType)) else F.col(f"`{f.name}`") for f in schema]
     return raw.select(*back)
 
 

@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 from ledgerspark.operators import records
+from ledgerspark.plans.build_queries import BUILT, BUILT_SQL
 from ledgerspark.plans.more_queries import ALL, MORE_SQL
 from ledgerspark.plans.oracle import ORACLE as FIRST_SQL
 from ledgerspark.plans.record_queries import RECORD_SQL, RECORDS
 
-QUERIES, ORACLE = ALL | RECORDS, FIRST_SQL | MORE_SQL | RECORD_SQL
+QUERIES, ORACLE = ALL | RECORDS | BUILT, FIRST_SQL | MORE_SQL | RECORD_SQL | BUILT_SQL
 
 
 def norm(v):
