@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import permute
-from ..functions.draws import hash52
+from ..functions.draws import hash52, pick
 from ..functions.money import PRICE, price
 from .selection import BUSINESS_TYPES
 
@@ -78,6 +78,30 @@ def untranslated(words: DataFrame) -> DataFrame:
     return words.where("fr is null").groupBy("slot").agg(F.array_join(F.array_sort(F.collect_set("en")), "|").alias("missing"))
 
 
+def _of(table: dict, key: Column) -> Column:
+    return F.coalesce(*(F.when(key == k, F.array(*map(F.lit, v))) for k, v in table.items()))
+
+
+def _one(options: Column, draw: str, no: Column) -> Column:
+    return F.element_at(options, (hash52(draw, no) % F.size(options) + 1).cast("int"))
+
+
+def category(business_type: Column, no: Column) -> Column:
+    """The one product family that a company sells."""
+    return _one(_of(FAMILIES, business_type), "category", no)
+
+
+def niche(family: Column, locale: Column, no: Column) -> Column:
+    """A company's specialty inside its family, in its own language."""
+    nth = hash52("niche", no) % NICHES + 1
+    return F.when(locale.startswith("fr"), F.format_string("%s, spécialité %d", family, nth)).otherwise(F.format_string("%s, specialty %d", family, nth))
+
+
+def suffix(jurisdiction: Column, draw: str, no: Column) -> Column:
+    """A legal form of the place; "Ltd." where it has none of its own."""
+    return _one(F.coalesce(_of(SUFFIXES, jurisdiction), F.array(F.lit("Ltd."))), draw, no)
+
+
 def companies(spark: SparkSession, start: int, end: int) -> DataFrame:
     """Companies of an index range, each from its index alone.
 
@@ -90,12 +114,9 @@ def companies(spark: SparkSession, start: int, end: int) -> DataFrame:
     weight = F.round(F.pow(1 - hash52("weight", i) / F.lit(2.0**52), F.lit(-1 / 1.5)), 3)
     rows = spark.range(start, end).select(i.alias("company_no"), F.format_string("c%06d", i).alias("company_id"), market.alias("m"), kind.alias("business_type"), weight.alias("weight")).select("company_no", "company_id", "m.*", "business_type", "weight")
     no = F.col("company_no")
-    of = lambda table, key: F.coalesce(*(F.when(F.col(key) == k, F.array(*map(F.lit, v))) for k, v in table.items()))
-    one = lambda options, draw: F.element_at(options, (hash52(draw, no) % F.size(options) + 1).cast("int"))
-    rows = rows.withColumn("product_category", one(of(FAMILIES, "business_type"), "category")).withColumn("niche_no", hash52("niche", no) % NICHES)
-    names = F.concat(one(F.array(*map(F.lit, STEMS)), "stem"), one(F.array(*map(F.lit, ENDS)), "end"), F.lit(" "), one(of(SUFFIXES, "jurisdiction"), "suffix"))
-    niche = F.when(F.col("locale").startswith("fr"), F.format_string("%s, spécialité %d", "product_category", F.col("niche_no") + 1)).otherwise(F.format_string("%s, specialty %d", "product_category", F.col("niche_no") + 1))
-    return rows.withColumn("niche", niche).withColumn("name", names).drop("niche_no")
+    rows = rows.withColumn("product_category", category(F.col("business_type"), no))
+    names = F.concat(pick("stem", STEMS, no), pick("end", ENDS, no), F.lit(" "), suffix(F.col("jurisdiction"), "suffix", no))
+    return rows.withColumn("niche", niche(F.col("product_category"), F.col("locale"), no)).withColumn("name", names)
 
 
 def products(spark: SparkSession, companies_df: DataFrame, count: int, words: DataFrame | None = None) -> DataFrame:

@@ -56,6 +56,7 @@ def parent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("part_no"),
         F.col("l_quantity").cast("long").alias("quantity"),
         F.col("l_extendedprice").cast(CENTS).alias("amount"),
+        F.round(F.col("l_discount") * 100, 0).cast("long").alias("discount"),
     )
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.draws import hash52, pick
 from ..functions.text import slug
+from .catalogue import STEMS
 
-STREETS = ["Mill Road", "Station Street", "Harbour Way", "Rue du Port", "Quarry Lane"]
+# Street names by rule: every name stem of the catalogue with every kind of street.
+STREETS = [f"{stem} {kind}" for kind in ("Road", "Street", "Way", "Lane") for stem in STEMS]
 # Weights in percent of the general page layouts; the capture conditions' rotation and noise.
 LAYOUTS = [("meta-sidebar-01", 40), ("banner-header-06", 20), ("boxed-form-01", 17), ("fullbleed-05", 13), ("receipt-compact-01", 10)]
 FLOOR_OF_WEAR = "0.15"

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.draws import RUN, hash52, pick
 from ..functions.money import CENTS
-from . import golden
+from . import catalogue, golden
 from .identity import layout, wear
 from .selection import BUSINESS_TYPES, DIGITAL_NATIVE, GOODS
 
@@ -22,14 +23,37 @@ UNITS_OF_USE = {"hourly_labour": "hours", "seat_based": "seats", "metered_usage"
 PERIODIC = ["subscription", "seat_based", "metered_usage", "graduated_tier"]
 # Looks of our own, drawn once for each company; capture conditions in percent.
 LOOKS = {"meta_position": ["top", "left", "right"], "totals_style": ["plain", "boxed", "banded"], "table_style": ["ruled", "striped", "open"], "typeface": ["serif", "sans", "mono"]}
-NICHES = ["bakery supplies", "marine parts", "office fit-out", "garden tools"]
-RECIPIENTS = ["Northgate Stores", "Halden & Voss", "Atelier Brun", "Quayside Partners", "Maple Row Clinic"]
+# Kinds of use on a telephone bill.
 USE_TYPES = ["Brwsr", "Voice", "SMS", "Roam"]
-LINES_A_PAGE, UNIT_SIZE = 54, 1000
 
+# The names of both tables' columns, and their types by name.
 INVOICE_COLUMNS = "invoice_id run_id invoice_index company_id business_type product_category llm_niche template_id invoice_number issue_date due_date billing_period_start billing_period_end locale language jurisdiction currency issuer_name recipient_name subtotal discount_total shipping_total taxable_base tax_total deposit grand_total discount_scheme discount_timing tax_bucket_count line_item_count printed_row_count billing_models condition is_handwritten is_degraded catalogue_version wear is_crisp goods_receipt received_date page_count meta_position totals_style table_style column_vocabulary typeface font_scale has_logo logo_style has_watermark gcs_pdf_path gcs_golden_shard".split()
 LINE_COLUMNS = "invoice_id run_id line_no parent_line_no tier_index tier_count kind billing_model description sku part_number code code_system quantity unit_price discount_percent discount_amount extended_amount tax_code is_credit tier_lower tier_upper tier_rate period_start period_end is_prorated proration_factor included_quantity overage_quantity usage_unit usage_start duration_seconds volume usage_type counterparty rate_per_unit group_key group_label section".split()
 
+TYPES = {
+    "long": "invoice_index tax_bucket_count line_item_count printed_row_count line_no parent_line_no tier_index tier_count duration_seconds".split(),
+    "date": "issue_date due_date billing_period_start billing_period_end received_date period_start period_end".split(),
+    CENTS: "subtotal discount_total shipping_total taxable_base tax_total deposit grand_total discount_amount extended_amount".split(),
+    "decimal(18,4)": "quantity tier_lower tier_upper included_quantity overage_quantity volume".split(),
+    "decimal(18,6)": "unit_price rate_per_unit tier_rate".split(),
+    "decimal(9,4)": "discount_percent proration_factor".split(),
+    "boolean": "is_handwritten is_degraded is_crisp goods_receipt has_logo has_watermark is_credit is_prorated".split(),
+    "double": "wear font_scale".split(),
+    "int": ["page_count"],
+    "array<string>": ["billing_models"],
+}
+_TYPE = {name: kind for kind, names in TYPES.items() for name in names}
+
+
+def schema_of(columns: list[str]) -> StructType:
+    """The declared schema of a table; what is not named in ``TYPES`` is text."""
+    return StructType.fromDDL(", ".join(f"{c} {_TYPE.get(c, 'string')}" for c in columns))
+
+
+def declared(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns in their order and of their declared types."""
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema_of(columns)))
+
 
 def _by(values: dict[str, str], key: Column, otherwise: Column) -> Column:
     out = otherwise
@@ -71,41 +95,40 @@ def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = golden.parent_lines(spark, sf_dir).groupBy("invoice_index").agg(
         F.array_sort(F.collect_set("billing_model")).alias("models"),
         (F.count("*") + len(golden.BANDS) * F.count(F.when(model == "graduated_tier", 1))).alias("printed_row_count"),
-        F.max(model.isin(PERIODIC)).alias("periodic"),
         F.min(_by(KINDS, model, F.lit("product")).isin(DELIVERED)).alias("deliverable"),
     )
     named = heads(spark, sf_dir).select("invoice_index", "company_no", "issuer_name", "business_type")
     i, c, kind = F.col("invoice_index"), F.col("company_no"), F.col("business_type")
     out = golden.invoices(spark, sf_dir).join(facts, "invoice_index").join(named, "invoice_index")
-    start, end = month_before(F.col("issue_date"))
-    unit = F.format_string("unit-%06d", F.expr(f"invoice_index div {UNIT_SIZE}"))
+    none = lambda kind: F.lit(None).cast(kind)
     out = out.withColumn("condition", condition(i, kind)).withColumn("is_handwritten", F.col("condition") == "handwritten").withColumn("wear", F.when(F.col("condition") == "clean", F.lit(1).cast("decimal(4,3)")).otherwise(wear(i, 50, 1000)))
     out = out.withColumn("goods_receipt", F.col("is_handwritten") & kind.isin(GOODS) & F.col("deliverable"))
     out = out.withColumns({
         "run_id": F.lit(RUN),
-        "product_category": F.when(kind.isin(GOODS), "goods").otherwise("services"),
-        "llm_niche": F.when(c % 4 == 0, pick("niche", NICHES, c)),
+        "product_category": catalogue.category(kind, c),
         "template_id": F.when((kind == "telecom") & ~F.col("is_handwritten"), "telecom-itemized-37").otherwise(layout(c, F.col("is_handwritten"))),
-        "billing_period_start": F.when(F.col("periodic"), start),
-        "billing_period_end": F.when(F.col("periodic"), end),
+        # declared, and filled by nobody yet: periods, the page count (layouts are worked out in ``pages``), and paths
+        "billing_period_start": none("date"),
+        "billing_period_end": none("date"),
+        "page_count": none("int"),
+        "gcs_pdf_path": none("string"),
+        "gcs_golden_shard": none("string"),
         "language": language(F.col("locale")),
-        "recipient_name": pick("recipient", RECIPIENTS, i),
-        "billing_models": F.array_join("models", ","),
+        "recipient_name": F.concat(pick("recipient stem", catalogue.STEMS, i), pick("recipient end", catalogue.ENDS, i), F.lit(" "), catalogue.suffix(F.col("jurisdiction"), "recipient suffix", i)),
+        "billing_models": F.col("models"),
         "is_degraded": F.col("condition") != "clean",
         "catalogue_version": F.lit("star-1"),
         "is_crisp": F.col("wear") <= F.lit("0.25").cast("decimal(4,3)"),
         "received_date": F.when(F.col("goods_receipt"), F.date_add("issue_date", (hash52("received", i) % 7).cast("int"))),
-        "page_count": F.expr(f"(printed_row_count + {LINES_A_PAGE - 1}) div {LINES_A_PAGE}"),
         **{name: pick(name, options, c) for name, options in LOOKS.items()},
         "column_vocabulary": F.when(kind == "telecom", "telecom").otherwise("standard"),
         "font_scale": ((92 + hash52("font", c) % 21).cast("decimal(9,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(4,2)"),
         "has_logo": hash52("logo", c) % 10 < 8,
         "logo_style": pick("logo style", ["wordmark", "mark"], c),
         "has_watermark": hash52("watermark", c) % 10 == 0,
-        "gcs_pdf_path": F.concat(F.lit(f"{RUN}/documents/"), unit, F.lit("/"), F.col("invoice_id"), F.lit(".pdf")),
-        "gcs_golden_shard": F.concat(F.lit(f"{RUN}/golden/invoices/"), unit, F.lit(".jsonl.gz")),
     })
-    return out.select(*INVOICE_COLUMNS)
+    out = out.withColumn("llm_niche", catalogue.niche(F.col("product_category"), F.col("locale"), c))
+    return declared(out, INVOICE_COLUMNS)
 
 
 def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,8 +144,11 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     use = pick("use", USE_TYPES, i, n)
     subscriber = (1 + hash52("subscriber", i, n) % 3).cast("string")
     quantity = F.when(tiers, F.col("quantity") * 3000).otherwise(F.col("quantity"))
-    lines = lines.withColumn("units", quantity).withColumn("unit_price", F.round(amount / F.col("units").cast("decimal(18,0)"), 4).cast("decimal(18,6)"))
-    prorated = (model == "subscription") & (hash52("prorated", i, n) % 10 == 0)
+    # the amount is net: quantity times price, less the discount
+    off = F.when(tiers, F.lit(0).cast("long")).otherwise(F.col("discount"))
+    less = F.when(off > 0, F.round(amount * off.cast("decimal(9,0)") / (100 - off).cast("decimal(9,0)"), 2)).otherwise(F.lit(0)).cast(CENTS)
+    lines = lines.withColumn("units", quantity).withColumn("discount_percent", F.when(off > 0, off.cast("decimal(9,4)"))).withColumn("discount_amount", less)
+    lines = lines.withColumn("unit_price", F.round((amount + F.col("discount_amount")) / F.col("units").cast("decimal(18,0)"), 4).cast("decimal(18,6)"))
     parents = lines.withColumns({
         "run_id": F.lit(RUN),
         "parent_line_no": none("long"),
@@ -133,8 +159,6 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "part_number": F.when(model == "per_unit", F.format_string("PN-%06d", "part_no")),
         "code": F.when(model == "per_unit", F.format_string("%08d", "part_no")),
         "code_system": F.when(model == "per_unit", "sku").otherwise("none"),
-        "discount_percent": none("decimal(9,3)"),
-        "discount_amount": F.lit(0).cast(CENTS),
         "extended_amount": amount,
         "is_credit": amount < 0,
         "tier_lower": none("long"),
@@ -142,12 +166,12 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tier_rate": none("decimal(18,6)"),
         "period_start": F.when(model.isin(PERIODIC), start),
         "period_end": F.when(model.isin(PERIODIC), end),
-        "is_prorated": prorated,
-        "proration_factor": F.when(prorated, ((1 + hash52("share", i, n) % 9999).cast("decimal(9,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(5,4)")),
+        "is_prorated": F.lit(False),
+        "proration_factor": none("decimal(9,4)"),
         "included_quantity": F.when(model == "seat_based", F.lit(5).cast("long")),
         "overage_quantity": F.when(model == "seat_based", F.greatest(F.col("quantity") - 5, F.lit(0)).cast("long")),
         "usage_unit": _by(UNITS_OF_USE, model, F.lit("none")),
-        "usage_start": F.when(phone, F.concat(F.date_format(F.date_add(start, (hash52("day of use", i, n) % 28).cast("int")), "yyyy-MM-dd"), F.format_string("T%02d:%02d:00", hash52("hour", i, n) % 24, hash52("minute", i, n) % 60))),
+        "usage_start": F.when(phone, F.format_string("%02d %02d:%02d", 1 + hash52("day of use", i, n) % 28, hash52("hour", i, n) % 24, hash52("minute", i, n) % 60)),
         "duration_seconds": F.when(phone, hash52("seconds", i, n) % 3600),
         "volume": F.when(model == "metered_usage", F.col("quantity")),
         "usage_type": F.when(phone, use),
@@ -169,12 +193,14 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "tier_lower": F.col("lo"),
         "tier_upper": F.col("hi"),
         "tier_rate": F.col("rate"),
+        "discount_percent": none("decimal(9,4)"),
+        "discount_amount": F.lit(0).cast(CENTS),
         "sku": none("string"),
         "part_number": none("string"),
         "code": none("string"),
         "is_credit": F.col("tier_amount") < 0,
     })
-    return parents.select(*LINE_COLUMNS).unionByName(under.select(*LINE_COLUMNS))
+    return declared(parents, LINE_COLUMNS).unionByName(declared(under, LINE_COLUMNS))
 
 
 def delivery_lines(lines: DataFrame, most: int = 8_000) -> DataFrame:

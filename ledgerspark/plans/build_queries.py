@@ -12,7 +12,7 @@ from ..operators.selection import BUSINESS_TYPES
 from ..sources import export, files
 from ..sources.shards import Sink
 from . import extensions
-from .oracle import LINES, PRINTED, TIERED, dec, h, one_of, q, values
+from .oracle import LINES, PRINTED, TIERED, dec, h, of_key, one_of, q, values
 
 BUILT: dict = {}
 BUILT_SQL: dict[str, str] = {}
@@ -29,15 +29,10 @@ def query(sql: str):
 # -- catalogue -------------------------------------------------------------------
 
 
-def _of(options: dict, key: str, draw: str) -> str:
-    """One of the options that belong to a key."""
-    return f"CASE {key} " + " ".join(f"WHEN {q(k)} THEN {one_of(list(v), f'{draw} % {len(v)}')}" for k, v in options.items()) + " END"
-
-
 def _firms(table_name: str) -> str:
     market = ", ".join(f"{one_of([m[n] for m in MARKETS], f'i % {len(MARKETS)}')} AS {c}" for n, c in enumerate(("jurisdiction", "locale", "currency")))
     return f"""made AS (SELECT i AS company_no, format('c{{:06d}}', i) AS company_id, {market}, {one_of(BUSINESS_TYPES, f'i % {len(BUSINESS_TYPES)}')} AS business_type FROM range((SELECT count(*) FROM {table_name})) t(i)),
-      firms AS (SELECT *, {_of(FAMILIES, 'business_type', h('category', 'company_no'))} AS product_category FROM made)"""
+      firms AS (SELECT *, {of_key(FAMILIES, 'business_type', h('category', 'company_no'))} AS product_category FROM made)"""
 
 
 _WORDS = values([(f, s, i, *by_rule(f, s, i)) for f, sizes in SIZES.items() for s, n in zip(SLOTS, sizes, strict=True) for i in range(n)], "family, slot, place, en, fr")
@@ -47,7 +42,7 @@ _SHELVES = f"words AS {_WORDS}, shelves AS (SELECT family, {', '.join(f'list(en
 @query(
     f"""WITH {_firms('customer')} SELECT company_no, company_id, jurisdiction, locale, currency, business_type, product_category,
       product_category || CASE WHEN locale LIKE 'fr%' THEN ', spécialité ' ELSE ', specialty ' END || ({h('niche', 'company_no')} % {NICHES} + 1) AS niche,
-      {one_of(STEMS, f"{h('stem', 'company_no')} % {len(STEMS)}")} || {one_of(ENDS, f"{h('end', 'company_no')} % {len(ENDS)}")} || ' ' || {_of(SUFFIXES, 'jurisdiction', h('suffix', 'company_no'))} AS name,
+      {one_of(STEMS, f"{h('stem', 'company_no')} % {len(STEMS)}")} || {one_of(ENDS, f"{h('end', 'company_no')} % {len(ENDS)}")} || ' ' || {of_key(SUFFIXES, 'jurisdiction', h('suffix', 'company_no'))} AS name,
       round(pow(1 - {h('weight', 'company_no')} / CAST(4503599627370496 AS DOUBLE), CAST({-1 / 1.5!r} AS DOUBLE)), 3) AS weight FROM firms"""
 )
 def catalogue_companies(spark, d):

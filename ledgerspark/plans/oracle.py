@@ -27,6 +27,11 @@ def one_of(options: list[str], index: str) -> str:
     return f"[{', '.join(map(q, options))}][{index} + 1]"
 
 
+def of_key(options: dict, key: str, draw: str) -> str:
+    """One of the options that belong to a key."""
+    return f"CASE {key} " + " ".join(f"WHEN {q(k)} THEN {one_of(list(v), f'{draw} % {len(v)}')}" for k, v in options.items()) + " END"
+
+
 def dec(cents: str, kind: str = "DECIMAL(18,2)") -> str:
     return f"CAST(CAST({cents} AS DECIMAL(18,0)) * 0.01 AS {kind})"
 
@@ -35,7 +40,7 @@ RULES = [(i, k, code, round(float(rate) * 1000)) for i, (*_, rules) in enumerate
 LINES = f"""lines AS (
   SELECT l_orderkey AS invoice_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY {', '.join(LINE_ORDER)}) AS line_no,
     {one_of(MODELS, f'l_partkey % {len(MODELS)}')} AS billing_model, l_partkey AS part_no, CAST(l_quantity AS BIGINT) AS quantity,
-    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+    CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(round(l_discount * 100) AS BIGINT) AS discount
   FROM lineitem)"""
 BASES = f"""{LINES},
 heads AS (

@@ -52,6 +52,17 @@ def test_whole_records(spark, sf):
     assert all(r.is_handwritten and 0 <= (r.received_date - r.issue_date).days <= 6 for r in notes)
 
 
+def test_declared_types(spark, sf):
+    whole, lines = records.invoice_rows(spark, sf), records.line_rows(spark, sf)
+    assert [(f.name, f.dataType) for f in whole.schema] == [(f.name, f.dataType) for f in records.schema_of(records.INVOICE_COLUMNS)]
+    assert [(f.name, f.dataType) for f in lines.schema] == [(f.name, f.dataType) for f in records.schema_of(records.LINE_COLUMNS)]
+    kinds = dict(whole.dtypes) | dict(lines.dtypes)
+    assert kinds["billing_models"] == "array<string>" and kinds["wear"] == "double" and kinds["tier_upper"] == "decimal(18,4)" and kinds["discount_percent"] == "decimal(9,4)" and kinds["page_count"] == "int"
+    cut = lines.where("discount_percent is not null and tier_index is null")
+    assert cut.count() > 0 and cut.where("abs(discount_amount - (extended_amount + discount_amount) * discount_percent / 100) > 0.01").count() == 0
+    assert lines.where("tier_index is null and abs(quantity * unit_price - discount_amount - extended_amount) > 0.01 + quantity * 0.00005").count() == 0
+
+
 def test_delivery_notes_fall_back_to_all_lines(spark):
     lines = spark.createDataFrame([(1, 1, "fee"), (1, 2, "product"), (1, 3, "part"), (2, 1, "fee"), (2, 2, "labour")], "invoice_index long, line_no long, kind string")
     got = {(r.invoice_index, r.line_no): (r.delivery_no, r.fallback) for r in records.delivery_lines(lines).collect()}
