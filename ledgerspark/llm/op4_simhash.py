@@ -218,7 +218,8 @@ def links(nodes: DataFrame, distance: int = 2, bucket: int = BUCKET, plan: list[
     keyed = [F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(_signed(p.mask))).alias("key")) for i, p in enumerate(plan)]
     index = nodes.select("fp", F.explode(F.array(*keyed)).alias("k")).select(fp, "k.part", "k.key")
     probes = [F.struct(F.lit(i).alias("part"), fp.bitwiseAND(F.lit(_signed(p.mask))).bitwiseXOR(F.lit(_signed(flip))).alias("key"), F.lit(flip == 0).alias("own")) for i, p in enumerate(plan) for flip in ([0] + [1 << b for b in p.bits] * (p.threshold == 1))]
-    asked = nodes.select("fp", F.explode(F.array(*probes)).alias("k")).select(fp, "k.part", "k.key", "k.own")
+    # written, as several joins read them: else each would make them anew
+    asked = saved(nodes.select("fp", F.explode(F.array(*probes)).alias("k")).select(fp, "k.part", "k.key", "k.own"), "probes")
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("n"))
     if all(p.threshold == 0 for p in plan):
         sizes = sizes.where("n > 1")
