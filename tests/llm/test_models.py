@@ -32,20 +32,106 @@ def test_seating():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 50, 100_000])
     t = op2_hpylm.seat(c, np.full(5, 2.0), 0.5, rng)
-    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and (t <= np.maximum(c, 0)).all() and t[4] > t[3]
+    assert t[0] == 0 and t[1] == 1 and 1 <= t[2] <= 2 and (t <= np.maximum(c, 0)).all() and 1 <= t[4] < 30
     # two customers of one dish: the second opens a table with probability a / (a + 1 - d)
     many = op2_hpylm.seat(np.full(20_000, 2), np.full(20_000, 2.0), 0.5, rng)
     assert abs((many == 2).mean() - 2 / 2.5) < 0.02
 
 
-@pytest.mark.parametrize("customers,opening,discount", [(1000, 2.0, 0.5), (1000, 100.0, 0.5), (10_000, 100.0, 0.9)])
-def test_groups_open_as_many_tables_as_customers_one_by_one(customers, opening, discount):
-    rng = np.random.default_rng(1)
-    t = np.ones(400, np.int64)
-    for n in range(1, customers):
-        t += rng.random(400) < opening / (opening + n - discount * t)
-    got = op2_hpylm.seat(np.full(400, customers), np.full(400, opening), discount, rng)
-    assert abs(got.mean() / t.mean() - 1) < 0.05
+def summed_mean(c, a, d, most):
+    """Mean tables of a dish from the sum over all seatings, in logarithms, up to ``most`` tables."""
+    row = np.full(most + 1, -np.inf)
+    row[0] = 0
+    for n in range(c):
+        stay = n - d * np.arange(most + 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            row = np.logaddexp(np.append(-np.inf, row[:-1]), row + np.where(stay > 0, np.log(stay), -np.inf))
+    w = row + np.arange(most + 1) * math.log(a)
+    w = np.exp(w - w.max())
+    return (w * np.arange(most + 1)).sum() / w.sum()
+
+
+@pytest.mark.parametrize("customers,opening,discount", [(30, 5.0, 0.8), (30, 1.0, 0.5), (20, 0.05, 0.9), (5, 0.1, 0.8), (1000, 2.0, 0.5), (1000, 100.0, 0.5), (2000, 3.0, 0.7), (10_000, 100.0, 0.9), (3000, 400.0, 0.3)])
+def test_seats_are_those_of_all_seatings(customers, opening, discount):
+    rng, n = np.random.default_rng(1), 60_000 if customers <= 1000 else 20_000
+    got = op2_hpylm.seat(np.full(n, customers), np.full(n, opening), discount, rng)
+    want = summed_mean(customers, opening, discount, min(customers, 1500))
+    assert abs(got.mean() / want - 1) < 0.01 and got.min() >= 1
+
+
+def gibbs_one_by_one(train, tests, steps, burn):
+    """Log10 of averaged predictions of ``tests``, from restaurants whose tables are all kept, reseating one customer at a time."""
+    rng = random.Random(5)
+
+    def stream(text):
+        before = ""
+        for w in words(text):
+            yield before, w
+            before = before if w is None else w
+
+    customers = [pair for t in train for pair in stream(t)]
+    counts = Counter(customers)
+    served, known = Counter(w for _, w in counts), {w for _, w in customers}
+    rate = lambda c: min(0.95, max(0.05, (one := sum(n == 1 for n in c.values())) / max(1, one + 2 * sum(n == 2 for n in c.values()))))
+    d, d0, strength, root_strength = rate(counts), rate(served), op2_hpylm.STRENGTH, op2_hpylm.ROOT_STRENGTH
+    child = {pair: [n] for pair, n in counts.items()}
+    root = {w: [n] for w, n in served.items()}
+    tables, of_context = Counter(u for u, _ in counts), Counter(u for u, _ in customers)
+
+    def below(w):
+        held, whole = root.get(w, []), root_strength + sum(tables.values())
+        return (sum(held) - d0 * len(held) + (root_strength + d0 * sum(map(len, root.values()))) / (len(known) + 1)) / whole
+
+    def leave(sizes):
+        k = rng.choices(range(len(sizes)), sizes)[0]
+        sizes[k] -= 1
+        if not sizes[k]:
+            del sizes[k]
+            return True
+        return False
+
+    def join(sizes, discount, opening):
+        k = rng.choices(range(len(sizes) + 1), [n - discount for n in sizes] + [opening])[0]
+        if k == len(sizes):
+            sizes.append(1)
+            return True
+        sizes[k] += 1
+        return False
+
+    asked, total = [list(stream(t)) for t in tests], [0.0] * sum(len(words(t)) for t in tests)
+    for step in range(burn + steps):
+        for u, w in customers:
+            if leave(child[u, w]):
+                tables[u] -= 1
+                leave(root[w])
+            if join(child[u, w], d, (strength + d * tables[u]) * below(w)):
+                join(root[w], d0, (root_strength + d0 * sum(map(len, root.values()))) / (len(known) + 1))
+                tables[u] += 1
+        if step >= burn:
+            for i, (u, w) in enumerate(pair for text in asked for pair in text):
+                total[i] += (counts[u, w] - d * len(child.get((u, w), [])) + (strength + d * tables[u]) * below(w)) / (strength + of_context[u])
+    logs, at = [], 0
+    for text in asked:
+        logs.append(sum(math.log10(x / steps) for x in total[at : at + len(text)]))
+        at += len(text)
+    return logs
+
+
+def test_scores_are_those_of_gibbs_one_by_one(spark):
+    rng = random.Random(8)
+    follow = {"": "ab", "a": "bbc", "b": "ccad", "c": "a", "d": "ad"}
+    rows = []
+    for i in range(60):
+        text, w = [], ""
+        for _ in range(rng.randint(1, 12)):
+            w = rng.choice(follow[w])
+            text.append(w)
+        rows.append((i, " ".join(text)))
+    got = {r.doc_id: r.score for r in op2_hpylm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), burn=6, kept=40).collect()}
+    tests = [t for i, t in rows if held(i)]
+    want = dict(zip([i for i, _ in rows if held(i)], gibbs_one_by_one([t for i, t in rows if not held(i)], tests, 60, 20), strict=True))
+    assert len(want) > 5 and abs(sum(got[i] for i in want) / sum(want.values()) - 1) < 0.01
+    assert all(abs(got[i] / want[i] - 1) < 0.05 for i in want)
 
 
 def test_predictions_add_up():
