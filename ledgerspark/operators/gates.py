@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import findings_of_stripped, normalised, stripped
+from ..functions.text import findings_of_stripped, lowered, normalised, promotional, stripped
 
 
 def gate_findings(items: DataFrame, key: str, text: str) -> DataFrame:
@@ -14,9 +14,10 @@ def gate_findings(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _rules(items: DataFrame, key: str, text: str) -> DataFrame:
-    # the stripped text is a column of its own, so that a dozen rules don't strip it a dozen times
-    ready = items.select(key, stripped(F.coalesce(F.col(text), F.lit(""))).alias("text"))
-    return ready.select(key, findings_of_stripped(F.col("text")).alias("rules"))
+    # what several rules read is a column of its own, so that they don't work it out several times
+    ready = items.select(key, stripped(F.coalesce(F.col(text), F.lit(""))).alias("text")).withColumn("low", lowered(F.col("text")))
+    ready = ready.withColumn("marketing", promotional(F.col("text"), F.col("low")))
+    return ready.select(key, findings_of_stripped(F.col("text"), F.col("low"), F.col("marketing")).alias("rules"))
 
 
 def by_rule(found: DataFrame) -> DataFrame:
