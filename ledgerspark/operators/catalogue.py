@@ -148,6 +148,11 @@ def products(spark: SparkSession, companies_df: DataFrame, count: int, words: Da
     return out.select("company_no", F.format_string("%s-%05d", "company_id", "nth").alias("sku_id"), "family", "combination", *described, "price_low", "price_high", "kind", "billing_model", "code_system", "usage_unit", "code_prefix")
 
 
+def pooled(companies_df: DataFrame, products_df: DataFrame) -> DataFrame:
+    """Every product with the business type of its company: what all companies of a type sell together."""
+    return products_df.join(companies_df.select("company_no", "business_type"), "company_no")
+
+
 def seed_roster(spark: SparkSession, anchor: int = 50_000, french: int = 5, french_each: int = 1_000, others: int = 100, others_total: int = 195_000) -> DataFrame:
     """The built-in roster: one anchor company, a few French ones, and the others that share the rest of the weight.
 

@@ -17,6 +17,7 @@ BUSINESS_TYPES = ["retail", "wholesale", "auto_repair", "b2b_saas", "accounting"
 KNOWN_TYPES = ["retail", "ecommerce", "grocery", "wholesale", "manufacturing", "pharmacy", "restaurant", "hospitality", "event_services", "auto_repair", "home_services", "construction", "equipment_rental", "facilities", "medical_clinic", "dental", "veterinary", "therapy", "legal", "accounting", "consulting", "marketing_agency", "staffing", "education", "b2b_saas", "ai_platform", "cloud_infra", "telecom", "utilities", "insurance", "lending", "wealth_management", "payments", "logistics", "freight", "fitness", "media_subscription"]
 GOODS = ["retail", "ecommerce", "grocery", "wholesale", "manufacturing", "pharmacy"]
 DIGITAL_NATIVE = ["b2b_saas", "ai_platform"]
+HANDWRITTEN = "handwritten-form-01"
 CONDITIONS = ["clean", "light_scan", "heavy_scan", "handwritten"]
 
 
@@ -58,6 +59,9 @@ class Selection:
                 raise UnsupportedConstraint(f"unknown {what} {', '.join(bad)}; known: {', '.join(known)}")
         if out.goods_receipts and out.business_types and not set(out.business_types) & set(GOODS):
             raise UnsupportedConstraint(f"goods receipts need one of {', '.join(GOODS)}")
+        pinned = sorted(t for t in out.templates if t != HANDWRITTEN) if isinstance(out.templates, tuple) else []
+        if "handwritten" in out.conditions and pinned:
+            raise UnsupportedConstraint(f"handwriting is always on {HANDWRITTEN}, never on {', '.join(pinned)}")
         return out
 
     def is_empty(self) -> bool:

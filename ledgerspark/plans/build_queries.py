@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import alias, permute
-from ..operators import catalogue, golden, manifest, pages, replies
+from ..operators import catalogue, golden, labels, manifest, pages, replies
 from ..operators.catalogue import BILLING, ENDS, FAMILIES, MARKETS, NICHES, PRICE_BANDS, SIZES, SLOTS, STEMS, SUFFIXES, by_rule
 from ..operators.golden import table
 from ..operators.selection import BUSINESS_TYPES
 from ..sources import export, files
 from ..sources.shards import Sink
 from . import extensions
-from .oracle import LINES, PRINTED, TIERED, dec, h, of_key, one_of, q, values
+from .oracle import COMPANIES, LINES, PRINTED, TIERED, dec, h, of_key, one_of, q, values
+from .queries import firms
 
 BUILT: dict = {}
 BUILT_SQL: dict[str, str] = {}
@@ -258,3 +259,50 @@ def build_report(spark, d):
     said = F.when(no % 12 == 5, F.lit("Sure, here you go")).when(answered, F.concat(F.lit("generated "), no.cast("string")))
     band = F.when(answered & (no % 20 != 1), F.lit(True))
     return extensions.build_report(extensions.judged(table(spark, d, "part").select("p_partkey", F.col("p_name").alias("description"), said.alias("reply"), band.alias("band")), "description", "reply", F.col("band").isNotNull()))
+
+
+# -- printed vocabulary ------------------------------------------------------------
+
+_NATION_LANGUAGE = "CASE WHEN locale LIKE 'en%' THEN 'en' ELSE locale END"
+_ASKED = ["standard", "caps", "product", "prix_unite", "minimal"]
+_HEADERS = values([(lang, name, ", ".join(x for x in row if x)) for lang, by in labels.HEADERS.items() for name, row in by.items()], "language, vocabulary, headers")
+_LABELS = values([(lang, row[0], row[n + 1]) for row in labels.LABELS for n, lang in enumerate(labels.HEADERS)], "language, key, shown")
+
+
+@query(
+    f"""WITH {COMPANIES}, h AS {_HEADERS}, l AS {_LABELS}, a AS (SELECT o_orderkey, {_NATION_LANGUAGE} AS language, {one_of(_ASKED, f'o_orderkey % {len(_ASKED)}')} AS vocabulary, {one_of([r[0] for r in labels.LABELS], f'o_orderkey % {len(labels.LABELS)}')} AS key FROM orders JOIN firms ON o_custkey = c_custkey)
+      SELECT o_orderkey, coalesce(own.headers, std.headers) AS headers, own.headers IS NULL AS fell_back, l.shown AS label
+      FROM a LEFT JOIN h own ON own.language = a.language AND own.vocabulary = a.vocabulary JOIN h std ON std.language = a.language AND std.vocabulary = 'standard' JOIN l ON l.language = a.language AND l.key = a.key"""
+)
+def label_lookup_fallback(spark, d):
+    known, no = labels.Labels.built_in(spark), F.col("o_orderkey")
+    of = lambda options: F.element_at(F.array(*map(F.lit, options)), (no % len(options) + 1).cast("int"))
+    tongue = F.when(F.col("locale").startswith("en"), "en").otherwise(F.col("locale"))
+    homes = firms(spark, d).select("company_id", tongue.alias("language"))
+    asked = table(spark, d, "orders").select("o_orderkey", F.format_string("c%06d", "o_custkey").alias("company_id")).join(homes, "company_id")
+    named = known.column_headers(known.shown(asked, F.col("language"), of([r[0] for r in labels.LABELS]), "label"), F.col("language"), of(_ASKED))
+    return named.select("o_orderkey", F.array_join("headers.shown", ", ").alias("headers"), "fell_back", "label")
+
+
+@query(
+    f"""WITH {COMPANIES} SELECT o_orderkey, 'meta-' || m || ' totals-' || t || ' table-' || b || ' lang-' || replace(lower({_NATION_LANGUAGE}), '-', '_') || CASE WHEN o_custkey % 10 < 8 THEN ' has-logo' ELSE ' no-logo' END || CASE WHEN m = 'top-row' THEN ' meta-banner' ELSE '' END AS classes
+      FROM (SELECT *, {one_of(['top-row', 'left', 'right'], 'o_custkey % 3')} AS m, {one_of(['plain', 'boxed'], 'o_custkey % 2')} AS t, {one_of(['ruled', 'striped', 'open', 'grid'], 'o_custkey % 4')} AS b FROM orders JOIN firms ON o_custkey = c_custkey)"""
+)
+def page_classes(spark, d):
+    no = F.col("o_custkey")
+    of = lambda options: F.element_at(F.array(*map(F.lit, options)), (no % len(options) + 1).cast("int"))
+    tongue = F.when(F.col("locale").startswith("en"), "en").otherwise(F.col("locale"))
+    homes = firms(spark, d).select("company_id", tongue.alias("language"))
+    rows = table(spark, d, "orders").withColumn("company_id", F.format_string("c%06d", "o_custkey")).join(homes, "company_id")
+    return rows.select("o_orderkey", labels.body_classes(F.col("language"), of(["top-row", "left", "right"]), of(["plain", "boxed"]), of(["ruled", "striped", "open", "grid"]), no % 10 < 8).alias("classes"))
+
+
+@query(
+    f"""WITH {_firms('supplier')}, {_SHELVES} SELECT business_type, count(*) AS companies, sum(least({PRODUCTS}, {' * '.join(f'len({s})' for s in SLOTS)}))::BIGINT AS products, count(DISTINCT family) AS families
+      FROM firms JOIN shelves ON family = product_category GROUP BY 1"""
+)
+def pooled_products(spark, d):
+    """Products pooled over the companies of each business type."""
+    made = catalogue.companies(spark, 0, table(spark, d, "supplier").count())
+    pool = catalogue.pooled(made, catalogue.products(spark, made, PRODUCTS))
+    return pool.groupBy("business_type").agg(F.countDistinct("company_no").alias("companies"), F.count("*").alias("products"), F.countDistinct("family").alias("families"))

@@ -195,7 +195,6 @@ ORACLE = {
     "tier_labels": f"SELECT tier_index, CASE WHEN hi IS NULL THEN format('{{:,}}+ calls', lo) ELSE format('{{:,}} – {{:,}} calls', lo, hi) END AS label FROM {BAND_ROWS}",
     "identifiers": "SELECT o_orderkey, format('inv_{:08d}', o_orderkey) AS invoice_id, format('c{:06d}', o_custkey) AS company_id, format('INV-{:d}-{:06d}', year(o_orderdate), o_orderkey) AS invoice_number, format('unit-{:06d}', o_orderkey // 1000) AS unit_key FROM orders",
     "names_and_slugs": f"SELECT c_custkey, upper(array_to_string(list_transform(list_filter(regexp_split_to_array(c_name, '[#\\s]+'), lambda w: w <> '')[1:2], lambda w: w[1]), '')) AS initials, trim(regexp_replace(translate(lower(c_name), {q(ACCENTED)}, {q(PLAIN)}), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM customer",
-    "label_lookup_fallback": f"WITH l AS {values([('en', 'standard', 'total', 'Total'), ('en', 'standard', 'tax', 'Tax'), ('en', 'telecom', 'total', 'Amount due'), ('fr', 'standard', 'total', 'Total TTC'), ('fr', 'standard', 'tax', 'TVA'), ('fr', 'telecom', 'tax', 'Taxes')], 'lang, vocabulary, label, shown')}, w AS (SELECT a.lang, v.vocabulary, k.label FROM (VALUES ('en'), ('fr')) a(lang), (VALUES ('standard'), ('telecom'), ('legal')) v(vocabulary), (VALUES ('total'), ('tax')) k(label)) SELECT w.lang, w.vocabulary, w.label, coalesce(x.shown, s.shown) AS shown, x.shown IS NULL AS fallback FROM w LEFT JOIN l x ON x.lang = w.lang AND x.vocabulary = w.vocabulary AND x.label = w.label LEFT JOIN l s ON s.lang = w.lang AND s.vocabulary = 'standard' AND s.label = w.label",
     "band_coercion": "WITH b AS (SELECT event_id, CAST(value AS DECIMAL(18,6)) AS lo, CAST(CAST(value AS DECIMAL(18,6)) * [1, 2, 7, 0][event_id % 4 + 1] AS DECIMAL(18,6)) AS hi FROM events) SELECT event_id, CASE WHEN lo > 0 AND hi >= lo AND lo >= 0.5 AND hi <= 600 AND hi <= lo * 6 THEN CAST(lo AS DECIMAL(18,4)) END AS low, CASE WHEN lo > 0 AND hi >= lo AND lo >= 0.5 AND hi <= 600 AND hi <= lo * 6 THEN CAST(hi AS DECIMAL(18,4)) END AS high FROM b",
     "catalogue_overlay": "SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'generated ' || p_partkey ELSE p_name END AS p_name, p_partkey % 4 = 1 AS filled FROM part",
     "orphan_companies": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",

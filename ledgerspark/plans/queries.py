@@ -357,17 +357,6 @@ def names_and_slugs(spark, d):
     return table(spark, d, "customer").select("c_custkey", text.initials(words).alias("initials"), text.slug(F.col("c_name")).alias("slug"))
 
 
-@query
-def label_lookup_fallback(spark, d):
-    labels = spark.createDataFrame([("en", "standard", "total", "Total"), ("en", "standard", "tax", "Tax"), ("en", "telecom", "total", "Amount due"), ("fr", "standard", "total", "Total TTC"), ("fr", "standard", "tax", "TVA"), ("fr", "telecom", "tax", "Taxes")], "lang string, vocabulary string, label string, shown string")
-    asked = spark.createDataFrame([(a, v, k) for a in ("en", "fr") for v in ("standard", "telecom", "legal") for k in ("total", "tax")], "lang string, vocabulary string, label string")
-    own = labels.withColumnRenamed("shown", "own")
-    base = labels.where("vocabulary = 'standard'").select("lang", "label", F.col("shown").alias("standard"))
-    joined = asked.join(own, ["lang", "vocabulary", "label"], "left").join(base, ["lang", "label"], "left")
-    strict = F.coalesce("own", "standard", F.raise_error(F.concat(F.lit("no label "), F.col("label"))).cast("string"))
-    return joined.select("lang", "vocabulary", "label", strict.alias("shown"), F.col("own").isNull().alias("fallback"))
-
-
 @query
 def band_coercion(spark, d):
     low = F.col("value").cast("decimal(18,6)")

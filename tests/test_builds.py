@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerspark.functions import alias, draws, permute
-from ledgerspark.operators import catalogue, manifest, pages, replies
+from ledgerspark.operators import catalogue, labels, manifest, pages, replies
+from ledgerspark.operators.selection import Selection, UnsupportedConstraint
 from ledgerspark.plans import extensions
 from ledgerspark.sources import export
 from ledgerspark.sources.shards import Sink
@@ -334,3 +335,40 @@ def test_replies(spark):
     for r in replies.items(frame, "reply").orderBy("no", "place").collect():
         got.setdefault(r.no, []).append((r.place, r.name, r.low, r.high))
     assert got == {n: v for n, t in enumerate(texts) if (v := read_reply(t))}
+
+
+# -- printed vocabulary
+
+
+def test_label_tables_are_checked(spark):
+    known = labels.Labels.built_in(spark)
+    known.validate()
+    assert known.problems().count() == 0 and known.languages().count() == 3
+    more = spark.createDataFrame([("de", "total", "Summe"), ("de", "subtotal", "  "), ("de", "extra", "x"), ("fr-FR", "surplus", "y")], "language string, key string, shown string")
+    odd = labels.Labels(known.labels.unionByName(more), known.headers.where("language <> 'fr-CA' or vocabulary <> 'standard'"))
+    got = {(r.language, r.problem): r["keys"] for r in odd.problems().collect()}
+    assert got == {("de", "missing"): "bill_to, discount, due_date, invoice, issue_date, tax_total", ("de", "unexpected"): "extra", ("fr-FR", "unexpected"): "surplus", ("de", "blank"): "subtotal", ("de", "no headers"): "", ("fr-CA", "no standard headers"): ""}
+    with pytest.raises(ValueError, match="de: missing bill_to"):
+        odd.validate()
+    with pytest.raises(ValueError, match="reference language"):
+        labels.Labels(known.labels, known.headers, "it").validate()
+
+
+def test_labels_are_looked_up(spark):
+    known = labels.Labels.built_in(spark)
+    rows = spark.createDataFrame([("en", "caps"), ("fr-FR", "caps"), ("fr-CA", "minimal")], "lang string, vocabulary string")
+    got = {r.lang: r for r in known.column_headers(known.shown(rows, F.col("lang"), F.lit("discount")), F.col("lang"), F.col("vocabulary")).collect()}
+    assert [got[k].shown for k in ("en", "fr-CA", "fr-FR")] == ["Discount", "Rabais", "Remise"]
+    assert [h.shown for h in got["en"].headers] == ["DESCRIPTION", "QUANTITY", "UNIT PRICE", "AMOUNT"] and not got["en"].fell_back
+    assert [h.shown for h in got["fr-FR"].headers] == ["Désignation", "Quantité", "Prix unitaire HT", "Montant HT"] and got["fr-FR"].fell_back
+    assert [(h.key, h.shown) for h in got["fr-CA"].headers] == [("description", "Description"), ("amount", "Montant")]
+    with pytest.raises(Exception, match="no label nothing"):
+        known.shown(rows, F.col("lang"), F.lit("nothing")).collect()
+    with pytest.raises(Exception, match="no vocabulary for language it"):
+        known.column_headers(rows, F.lit("it"), F.col("vocabulary")).collect()
+
+
+def test_handwriting_pins_no_typeset_page():
+    assert Selection.of({"conditions": "handwritten", "templates": "handwritten-form-01"}).templates == ("handwritten-form-01",)
+    with pytest.raises(UnsupportedConstraint, match="fullbleed-05"):
+        Selection.of({"conditions": ["clean", "handwritten"], "templates": ["fullbleed-05"]})
