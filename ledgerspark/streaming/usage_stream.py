@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.files import delete, exists, scratch
+
 
 def rollup(events: DataFrame, every: str = "1 day", late: str = "2 days") -> DataFrame:
     """Calls and value by window and type; replayed events count once inside the watermark."""
@@ -42,3 +44,33 @@ def write_usage(stream: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def put_units(rows: DataFrame, path: str) -> None:
+    """Merge usage rows (run_id, unit_index, attempt, call_index, ...) into a table that is partitioned by run and unit.
+
+    A later attempt at a unit replaces the unit's rows, a call that comes again replaces itself, and other calls of the
+    same attempt are added, whatever batches they come in.  Rows without a unit belong to the run's catalogue; a null
+    attempt is the first.  Only the partitions that the rows touch are read and written.
+    """
+    spark = rows.sparkSession
+    unit = F.when(F.col("unit_index").isNull(), "catalogue").otherwise(F.format_string("unit-%06d", "unit_index"))
+    fresh = rows.withColumn("attempt", F.coalesce(F.col("attempt").cast("long"), F.lit(1).cast("long"))).withColumn("unit", unit).withColumn("_fresh", F.lit(True))
+    both = fresh
+    if exists(spark, path):
+        touched = F.broadcast(fresh.select("run_id", "unit").distinct())  # at most as many as the batch has units
+        held = spark.read.schema(fresh.drop("_fresh").schema).parquet(path).join(touched, ["run_id", "unit"], "left_semi")
+        both = fresh.unionByName(held.withColumn("_fresh", F.lit(False)))
+    of_unit = Window.partitionBy("run_id", "unit")
+    latest = both.withColumn("_latest", F.max("attempt").over(of_unit)).where(F.col("attempt") == F.col("_latest"))
+    again = Window.partitionBy("run_id", "unit", "call_index").orderBy(F.desc("_fresh"))
+    one = latest.withColumn("_nth", F.row_number().over(again)).where("_nth = 1").drop("_nth", "_latest", "_fresh")
+    aside = scratch(spark, "usage")  # what is replaced is read meanwhile
+    one.write.parquet(aside)
+    spark.read.schema(one.schema).parquet(aside).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "unit").parquet(path)
+    delete(spark, aside)
+
+
+def write_unit_usage(stream: DataFrame, path: str, checkpoint: str):
+    """Keep a usage table by run and unit from a stream; batches may be replayed or cut anywhere."""
+    return stream.writeStream.foreachBatch(lambda batch, _: put_units(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
