@@ -1,14 +1,15 @@
 """Operator 8: toxicity by weak supervision.
 
-1. Voters, of both polarities and mixed quality.  Against a text: insults of a short general list, word beginnings of 4,
-   5, 6 and 8 letters that stand out among toxic training rows (mined, so they follow the corpus and its languages) and
+1. Voters, of both polarities and mixed quality.  Against a text: insults of a short general list, word beginnings of 3
+   to 8 letters that stand out among toxic training rows (mined, so they follow the corpus and its languages) and
    patterns (shouting, runs of exclamation marks, insults addressed to "you").  For it: word beginnings that stand out
    among clean rows, licence lines, and the silence of all lexicon voters against it.
 2. Label model.  A generative model of the votes given a hidden label: expectation-maximisation estimates how often each
    voter fires on either label.  The given label is one voter among them, whose accuracy is estimated as well.  Voters
    that stay correlated given the hidden label (nested word beginnings, say) are found from the residual covariance and
    share their weight, so that agreement among them counts once.
-3. Classifier.  Logistic regression on the votes, trained on the label model's posteriors.  It scores every text.
+3. Classifier.  Logistic regression on the votes, trained on the label model's posteriors; rows count more the likelier
+   they are toxic (``MISSED``).  It scores every text.
 
 Voters are mined from, and the models fitted on, a bounded sample of labelled rows: at most ``SAMPLE`` ids of the
 training folds, chosen by hash, one row each.  Scoring covers all rows.
@@ -37,14 +38,14 @@ from .common import crc_bucket, discard, map_batches, release, saved
 #: Labelled rows that voters and models are fitted on, at most.
 SAMPLE = 20_000
 #: Mined voters of one polarity, at most (a classifier's size, not a filter of rows); lengths of word beginnings.
-VOTERS, BEGINNINGS = 400, (4, 5, 6, 8)
+VOTERS, BEGINNINGS = 400, (3, 4, 5, 6, 7, 8)
 #: A mined voter fires on this share of the rows of its side (and this many at least), its rates on the two sides differ
 #: by this many standard errors, and this share of the sum of both rates is that of its side.
 SUPPORT, LEAST, ERRORS = 0.01, 4, 6.0
-AGAINST, FAVOUR = 0.95, 0.8
+AGAINST, FAVOUR = 0.9, 0.8
 #: Trust in the given labels and the rows that it stands for; rows that a voter's equal rates stand for.
 TRUST, TRUSTED, BELIEF = 0.9, 20.0, 10.0
-THRESHOLD = 0.7
+THRESHOLD, MISSED = 0.7, 3.0
 #: Word beginnings that a task counts before it hands the counts on.
 HELD = 100_000
 #: Insults of general use, voters whatever the labels say.
@@ -208,7 +209,9 @@ def stand_out(hits: dict[str, int], other: dict[str, int], n: int, m: int, preci
 def fit_votes(against: list[str], favour: list[str], votes: np.ndarray, given: np.ndarray, weight: np.ndarray, prior: float) -> Model:
     """Label model and classifier on distinct ballots (rows by voters) with given labels, and how often each was cast."""
     labels = label_model(votes, given, weight, Voters(against, favour).polarity, prior)
-    return Model(against, favour, *fit_linear(votes, weight, labels.posterior(votes.astype(np.float64), given)), labels)
+    posterior = labels.posterior(votes.astype(np.float64), given)
+    # a toxic row that is missed weighs as much as ``MISSED`` false alarms
+    return Model(against, favour, *fit_linear(votes, weight * (1 + (MISSED - 1) * posterior), posterior), labels)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 3, held: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
