@@ -1,5 +1,6 @@
 """Packing, token files and media: round trips and damage."""
 
+import hashlib
 import random
 import zlib
 
@@ -178,3 +179,73 @@ def test_media_frames(spark):
     assert got[1][1:] == got[2][1:] and got[None][1:] == got[3][1:]
     assert got[3].payload_bytes == 64 and got[4].payload_bytes == 64 and got[1].n_bytes == 5
     assert op3_media.to_media(docs.where("false")).collect() == []
+
+
+def plain_png_rows(data):
+    """Rows of an 8-bit grey PNG, sample by sample, from the format's description."""
+    at, packed, size = 8, b"", None
+    while at < len(data):
+        n, kind = int.from_bytes(data[at : at + 4], "big"), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + body) == int.from_bytes(data[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            size = int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")
+        packed += body if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, (width, height), rows = zlib.decompress(packed), size, []
+    for y in range(height):
+        line, above, row = raw[y * (width + 1) : (y + 1) * (width + 1)], rows[-1] if rows else [0] * width, []
+        for x in range(width):
+            a, b = row[x - 1] if x else 0, above[x]
+            row.append((line[1 + x] + (0, a, b)[line[0]]) % 256)
+        rows.append(row)
+    return rows
+
+
+def plain_cosine_hash(rows):
+    """The same hash by sums over samples: cell means on a 32 by 32 grid, cosine sums, bits above the median."""
+    height, width = len(rows), len(rows[0])
+    grid = []
+    for i in range(32):
+        low, high = i * height / 32, (i + 1) * height / 32
+        cells = []
+        for j in range(32):
+            total = 0.0
+            for y in range(int(low), min(height, int(np.ceil(high)) + 1)):
+                share = max(0.0, min(high, y + 1) - max(low, y))
+                total += share * sum(rows[y][j * width // 32 : (j + 1) * width // 32]) / (width // 32)
+            cells.append(total / (high - low))
+        grid.append(cells)
+    wave = [[np.cos(np.pi * k * (2 * x + 1) / 64) for x in range(32)] for k in range(8)]
+    low = [sum(wave[u][y] * wave[v][x] * grid[y][x] for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+    middle = sorted(low[1:])[31]
+    return "".join("1" if c > middle else "0" for c in low), [abs(c - middle) for c in low]
+
+
+def test_media_columns_are_those_of_plain_python(spark):
+    rng = random.Random(12)
+    texts = [None, "", "hello", "é😀" * 40, "x" * 64, "ab" * 32 + "c", "\x00\x01" * 70, "".join(chr(rng.randrange(32, 1200)) for _ in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r.doc_id: bytes(r.media) for r in op3_media.to_media(docs).collect()}
+    got = {r.doc_id: r for r in op3_media.media_features(op3_media.to_media(docs)).collect()}
+    for n, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+        rows = plain_png_rows(stored[n])
+        assert bytes(v for row in rows for v in row) == payload
+        want = (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored[n]), hashlib.sha256(stored[n]).hexdigest())
+        assert tuple(got[n])[1:7] == want
+        bits, gaps = plain_cosine_hash(rows)
+        # bits whose coefficient is the median itself may fall to either side by rounding
+        differ = [i for i, (a, b) in enumerate(zip(bits, f"{int(got[n].feature, 16):064b}", strict=True)) if a != b]
+        assert all(gaps[i] < 1e-6 for i in differ), (n, differ)
+
+
+def test_one_document_longer_than_a_frame(spark, tmp_path):
+    text = " ".join(f"word{i % 977}" for i in range(400_000))
+    docs = spark.createDataFrame([(1, "short"), (2, text), (3, None)], "doc_id long, text string")
+    target = str(tmp_path / "files")
+    op10_token_files.write_token_files(docs, target, tokenizer_file(BYTE), end_id=2)
+    got = {r.doc_id: r for r in op10_token_files.read_token_files(spark, target).collect()}
+    ids = bpe.tokenizer(tokenizer_file(BYTE)).encode([text.encode()]).ids.astype("<u4").tolist() + [2]
+    assert got[2].n_tokens == len(ids) and got[2].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[3].start == got[2].start + len(ids)

@@ -303,3 +303,52 @@ def test_pipeline(spark, tmp_path):
     masked = stage["secrets"](spark, docs, str(tmp_path)).where("doc_id = 1003").first()
     assert masked.text.endswith(" [SECRET]") and masked.n_chars == len(masked.text)
     assert stage["near_dedup"](spark, docs, str(tmp_path)).where(F.col("doc_id").isin(1001, 1002)).isEmpty()
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and ids, columns of other names, an empty table: by plain rules."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    fresh = lambda n: " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(6)) for _ in range(n))
+    rows, base = corpus(150), fresh(300)
+    long = fresh(60_000)
+    # copies at 0.8 and more of their five-word shingles, and one below
+    near, far = base + " tail end", base[: len(base) // 2] + " " + fresh(150)
+    extra = [(2000, None), (2001, ""), (2002, "  \n"), (2003, base), (2004, base), (2004, base), (2005, near), (2006, far), (2007, long), (2008, long + " one more"), (None, fresh(50)), (2009, "one two"), (2010, "one two"), (2011, "token=abcdefghijklmnop12 " + fresh(80))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, stage string"
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "x", None) for i, t in [(i, t) for i, t, _ in rows] + extra], schema)
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(None, None, None), (2000, 1, None)], "doc_id long, quality int, toxic int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    def alike(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b) if a | b else 1.0
+
+    clean = [(i, t) for i, t, y in rows if not y] + extra
+    sets, root = [shingles(t) for _, t in clean], list(range(len(clean)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(clean)):
+        for b in range(a):
+            if alike(sets[a], sets[b]) >= 0.8:
+                root[find(a)] = find(b)
+    groups = {}
+    for n, (i, _) in enumerate(clean):
+        groups.setdefault(find(n), []).append((i is None, i))
+    want = sorted(min(g) for g in groups.values())
+    got = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in got) == want
+    assert {r.doc_id: r.n for r in got}[2000] == 1  # the end token alone
+    empty = str(tmp_path / "none")
+    docs.where("false").write.parquet(f"{empty}/documents.parquet")
+    labels.where("false").write.parquet(f"{empty}/labels.parquet")
+    assert corpus_pipeline.run(spark, empty).collect() == []
