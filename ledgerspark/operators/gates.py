@@ -10,7 +10,9 @@ from ..functions.text import findings_of_stripped, lowered, normalised, promotio
 
 def gate_findings(items: DataFrame, key: str, text: str) -> DataFrame:
     """One row for each finding: (key, rule)."""
-    return _rules(items, key, text).select(key, F.explode("rules").alias("rule"))
+    # not a plain explode: Spark would test first whether there is anything to explode, which works all rules out once more,
+    # and what they share again for each of them
+    return _rules(items, key, text).select(key, F.explode_outer("rules").alias("rule")).where("rule is not null")
 
 
 def _rules(items: DataFrame, key: str, text: str) -> DataFrame:

@@ -56,28 +56,39 @@ def budget_prefix(usage: DataFrame, limit: Column, by: str = "model", order: str
     return running.where(F.col("spent") <= limit).select(*usage.columns, "spent")
 
 
+def _joined(a: Column, b: Column) -> Column:
+    """Two neighbouring stretches of calls as one: size, failures it begins and ends with, and the longest run and number of
+    runs that touch neither end.  A stretch of failures alone begins and ends with all of them."""
+    full_a, full_b, middle = a["lead"] == a["size"], b["lead"] == b["size"], a["trail"] + b["lead"]
+    inner = ~full_a & ~full_b & (middle > 0)
+    return F.struct(
+        (a["size"] + b["size"]).alias("size"),
+        F.when(full_a, a["size"] + b["lead"]).otherwise(a["lead"]).alias("lead"),
+        F.when(full_b, a["trail"] + b["size"]).otherwise(b["trail"]).alias("trail"),
+        F.greatest(a["longest"], b["longest"], F.when(inner, middle).otherwise(F.lit(0).cast("long"))).alias("longest"),
+        (a["runs"] + b["runs"] + F.when(inner, 1).otherwise(0)).alias("runs"),
+    )
+
+
 def failure_streaks(usage: DataFrame, by: str = "model", order: str = "event_id") -> DataFrame:
     """The longest run of consecutive failures of each group.
 
-    Each bucket of the order gives its runs that touch neither end, and what it begins and ends with; runs over several
-    buckets are put together from the buckets alone.
+    A bucket of the order is folded into one stretch, buckets of stretches into longer ones, and the few that are left into
+    the group's: no group of calls is gathered, and each level is one pass.
     """
-    calls = _bucketed(usage, by, order).select(by, "_bucket", order, (F.col("status") == "error").alias("failed"))
-    whole, part = Window.partitionBy(by, "_bucket").orderBy(order), Window.partitionBy(by, "_bucket", "failed").orderBy(order)
-    marked = calls.withColumn("island", F.row_number().over(whole) - F.row_number().over(part))
-    size = F.count("*").over(Window.partitionBy(by, "_bucket"))
-    runs = marked.withColumn("size", size).withColumn("at", F.row_number().over(whole)).where("failed")
-    runs = runs.groupBy(by, "_bucket", "island", "size").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
-    # a run continues that of the bucket before if it begins its bucket and the other ends its own
-    every = calls.groupBy(by, "_bucket").agg(F.count("*").alias("size")).withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy("_bucket")))
-    placed = runs.drop("size").join(every, [by, "_bucket"])
-    inner = placed.where((F.col("first") > 1) & (F.col("last") < F.col("size"))).select(by, "n")
-    edge = placed.where((F.col("first") == 1) | (F.col("last") == F.col("size")))
-    line = Window.partitionBy(by).orderBy("nth", "first")
-    joins = (F.col("first") == 1) & (F.lag("nth").over(line) == F.col("nth") - 1) & (F.lag("last").over(line) == F.lag("size").over(line))
-    chain = edge.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("chain", F.sum("new").over(line))
-    streaks = inner.unionByName(chain.groupBy(by, "chain").agg(F.sum("n").alias("n")).select(by, "n"))
-    return streaks.groupBy(by).agg(F.max("n").alias("longest_streak"), F.count("*").alias("streaks"))
+    zero = F.lit(0).cast("long")
+    none = F.struct(*(zero.alias(n) for n in ("size", "lead", "trail", "longest", "runs")))
+    failed = F.when(F.col("status") == "error", 1).otherwise(0).cast("long")
+    rows = usage.select(F.col(by), F.col(order).cast("long").alias("_place"), F.struct(F.lit(1).cast("long").alias("size"), failed.alias("lead"), failed.alias("trail"), zero.alias("longest"), zero.alias("runs")).alias("_part"))
+    for level in (BUCKET, BUCKET, None):
+        place = F.expr(f"_place div {level}") if level else F.lit(0).cast("long")
+        parts = rows.groupBy(by, place.alias("_above")).agg(F.array_sort(F.collect_list(F.struct("_place", "_part"))).alias("_parts"))
+        rows = parts.select(by, F.col("_above").alias("_place"), F.aggregate("_parts", none, lambda a, x: _joined(a, x["_part"])).alias("_part"))
+    full, whole = F.col("_part.lead") == F.col("_part.size"), F.col("_part.size")
+    longest = F.when(full, whole).otherwise(F.greatest("_part.longest", "_part.lead", "_part.trail"))
+    edges = F.when(F.col("_part.lead") > 0, 1).otherwise(0) + F.when(F.col("_part.trail") > 0, 1).otherwise(0)
+    runs = F.when(full, F.least(whole, F.lit(1))).otherwise(F.col("_part.runs") + edges).cast("long")
+    return rows.select(by, longest.alias("longest_streak"), runs.alias("streaks")).where("streaks > 0")
 
 
 def running_max(usage: DataFrame, by: str = "model", order: str = "event_id") -> DataFrame:
