@@ -43,9 +43,13 @@ def cumulative(weights: DataFrame, key: str, weight: str) -> DataFrame:
     share = min(1.0, 65_536 / max(1, weights.count()))
     marks = [r[0] for r in weights.sample(share, seed=1).select(key).distinct().orderBy(key).collect()]
     bounds = sorted({marks[i * len(marks) // RANGES] for i in range(1, RANGES)}) if len(marks) > RANGES else []
+    if not bounds:  # few keys: one range
+        whole = Window.partitionBy(F.lit(1))
+        upto = whole.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+        out = weights.withColumn("hi", F.sum(weight).over(upto)).withColumn("total", F.sum(weight).over(whole))
+        return out.withColumn("lo", F.col("hi") - F.col(weight)).select(*weights.columns, "hi", "lo", "total")
     # the number of bounds at or below the key
-    place = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
-    cut = weights.withColumn("_part", place)
+    cut = weights.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))))
     sums = cut.groupBy("_part").agg(F.sum(weight).alias("_sum"))
     order = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_part", F.coalesce(F.sum("_sum").over(order), F.lit(0)).alias("_start"), F.sum("_sum").over(Window.partitionBy(F.lit(1))).alias("total"))
