@@ -32,22 +32,35 @@ def placed(rows: DataFrame, key: str, section: str, order: list[str], rows_per_p
     return out.withColumn("page", F.expr(f"row_no div {rows_per_page} + 1")).drop("_seen")
 
 
+def _laid_out(rows: DataFrame, key: str, section: str, order: list[str], own: Column, rows_per_page: int) -> DataFrame:
+    """One row a section: ``section_no``, ``rows``, ``subtotal``, ``first_page`` and ``last_page``.
+
+    Rows are summed up first, so that windows hold a row for each section and not for each line.
+    """
+    first = F.min(order[0] if len(order) == 1 else F.struct(*order))
+    found = rows.groupBy(key, section).agg(first.alias("_seen"), F.count("*").alias("rows"), sum_money(own).alias("subtotal"))
+    whole = Window.partitionBy(key).orderBy("_seen", F.asc_nulls_first(section))
+    numbered = found.withColumn("section_no", F.row_number().over(whole).cast("long"))
+    upto = numbered.withColumn("_upto", F.sum("rows").over(whole.rowsBetween(Window.unboundedPreceding, 0)))
+    # the heading of a section is the row above its first one
+    first_page = F.expr(f"(_upto - rows + section_no - 1) div {rows_per_page} + 1")
+    return upto.withColumn("first_page", first_page).withColumn("last_page", F.expr(f"(_upto + section_no - 1) div {rows_per_page} + 1"))
+
+
 def sections(rows: DataFrame, key: str, section: str, order: list[str], amount: str, counted: Column | None = None, rows_per_page: int = ROWS) -> DataFrame:
     """One row a section: rows, subtotal of those ``counted`` (all, if None), the pages from its heading to its last row, and
     whether it goes on past a page's end."""
-    at = placed(rows, key, section, order, rows_per_page)
     own = F.col(amount) if counted is None else F.when(counted, F.col(amount))
-    found = at.groupBy(key, "section_no", section).agg(F.count("*").alias("rows"), sum_money(own).alias("subtotal"), F.min("row_no").alias("_top"), F.max("page").alias("last_page"))
-    return found.withColumn("first_page", F.expr(f"(_top - 1) div {rows_per_page} + 1")).withColumn("spans", F.col("first_page") < F.col("last_page")).drop("_top")
+    at = _laid_out(rows, key, section, order, own, rows_per_page)
+    return at.select(key, "section_no", section, "rows", "subtotal", "last_page", "first_page", (F.col("first_page") < F.col("last_page")).alias("spans"))
 
 
 def pages(rows: DataFrame, key: str, section: str, order: list[str], rows_per_page: int = ROWS) -> DataFrame:
     """One row a document: printed rows, rows with headings, pages, rows on the last page, sections that span pages, and the
     scale that spares a last page of less than a quarter (not below four fifths)."""
-    at = placed(rows, key, section, order, rows_per_page)
-    of_section = at.groupBy(key, "section_no").agg(F.count("*").alias("n"), F.min("row_no").alias("top"), F.max("page").alias("last"))
-    spanning = F.count(F.when(F.expr(f"(top - 1) div {rows_per_page} + 1") < F.col("last"), 1))
-    whole = of_section.groupBy(key).agg(F.sum("n").alias("printed"), F.count("*").alias("sections"), spanning.alias("spanning"))
+    at = _laid_out(rows, key, section, order, F.lit(0), rows_per_page)
+    spanning = F.count(F.when(F.col("first_page") < F.col("last_page"), 1))
+    whole = at.groupBy(key).agg(F.sum("rows").alias("printed"), F.count("*").alias("sections"), spanning.alias("spanning"))
     content = F.col("printed") + F.col("sections")
     out = whole.withColumn("content_rows", content).withColumn("pages", F.expr(f"(content_rows + {rows_per_page - 1}) div {rows_per_page}"))
     out = out.withColumn("last_page_rows", content - rows_per_page * (F.col("pages") - 1))

@@ -149,7 +149,7 @@ def spanning_sections(spark, d):
       SELECT *, CAST((CASE WHEN pages = 1 OR 4 * last_page_rows >= 54 THEN 10000 ELSE greatest(8000, CAST(floor(540000 * (pages - 1) / content_rows + 0.5) AS BIGINT)) END) * 0.0001 AS DECIMAL(5,4)) AS scale FROM p"""
 )
 def page_fill(spark, d):
-    return pages.pages(golden.printed_rows(spark, d), "invoice_index", "billing_model", ["line_no", "tier_index"])
+    return pages.pages(golden.printed_rows(spark, d), "invoice_index", "billing_model", ["line_no"])
 
 
 # -- replies ---------------------------------------------------------------------

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from ledgerspark.operators import records
+from ledgerspark.operators import golden, records
 from ledgerspark.plans.build_queries import BUILT, BUILT_SQL
 from ledgerspark.plans.more_queries import ALL, MORE_SQL
 from ledgerspark.plans.oracle import ORACLE as FIRST_SQL
@@ -89,3 +89,18 @@ def test_range_joins_are_equi_joins(spark, sf):
 def test_scan_reads_only_what_is_asked_for(spark, sf):
     plan = QUERIES["spend_rollup"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<user_id:bigint,event_type:string,props:string>" in plan.replace("event_id:bigint,", "")
+
+
+def test_tasks_follow_the_lines(spark, sf, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    whole = sorted(map(tuple, golden.parent_lines(spark, sf).collect()))
+    monkeypatch.setattr(golden, "LINES_PER_TASK", lines // 40)
+    dealt = golden.parent_lines(spark, sf)
+    assert dealt.rdd.getNumPartitions() >= 40 and sorted(map(tuple, dealt.collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["page_fill"])
+def test_pages_number_the_lines_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # one window for the lines' numbers, and two over sections
+    assert plan.count("l_partkey") and plan.count("Relation [") == 1 and plan.count("Window [") <= 3
