@@ -139,7 +139,7 @@ _PLACED = f"""{LINES}, {TIERED}, {PRINTED},
       SELECT invoice_index, section_no, billing_model, rows, {dec('cents')} AS subtotal, (top - 1) // 54 + 1 AS first_page, bottom // 54 + 1 AS last_page, (top - 1) // 54 < bottom // 54 AS spans FROM s"""
 )
 def spanning_sections(spark, d):
-    return pages.sections(golden.printed_rows(spark, d), "invoice_index", "billing_model", ["line_no", "tier_index"], "amount", F.col("tier_index").isNull())
+    return pages.sections(golden.printed_rows(spark, d), "invoice_index", "billing_model", ["line_no"], "amount", F.col("tier_index").isNull())
 
 
 @query(

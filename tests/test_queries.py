@@ -99,7 +99,7 @@ def test_tasks_follow_the_lines(spark, sf, monkeypatch):
     assert dealt.rdd.getNumPartitions() >= 40 and sorted(map(tuple, dealt.collect())) == whole
 
 
-@pytest.mark.parametrize("name", ["page_fill"])
+@pytest.mark.parametrize("name", ["page_fill", "spanning_sections"])
 def test_pages_number_the_lines_once(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # one window for the lines' numbers, and two over sections
