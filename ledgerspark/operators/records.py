@@ -1,7 +1,7 @@
 """Golden records at their full width: 52 columns of an invoice, 39 of a printed line, and delivery notes.
 
-Both tables need one shuffle on the invoice index beyond the lines' own numbering: heads and lines meet there, and all
-other columns are draws from the company's or the invoice's key.
+Invoices are one sum over the lines that meets one head an invoice; printed lines need a shuffle on the invoice index beyond
+the lines' own numbering.  All other columns are draws from the company's or the invoice's key.
 """
 
 from __future__ import annotations
@@ -92,21 +92,38 @@ def heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole row of every invoice; paths name where its documents and shards go."""
     model = F.col("billing_model")
-    facts = golden.parent_lines(spark, sf_dir).groupBy("invoice_index").agg(
-        F.array_sort(F.collect_set("billing_model")).alias("models"),
+    # which models occur is a bit each, so that lines are summed up by hash
+    of_models = sorted(golden.MODELS)
+    bit = _by({m: 1 << k for k, m in enumerate(of_models)}, model, F.lit(None).cast("int"))
+    facts = [
+        F.bit_or(bit).alias("model_bits"),
         (F.count("*") + len(golden.BANDS) * F.count(F.when(model == "graduated_tier", 1))).alias("printed_row_count"),
         F.min(_by(KINDS, model, F.lit("product")).isin(DELIVERED)).alias("deliverable"),
-    )
-    named = heads(spark, sf_dir).select("invoice_index", "company_no", "issuer_name", "business_type")
+    ]
+    models = F.filter(F.array(*(F.when(F.col("model_bits").bitwiseAND(1 << k) > 0, m) for k, m in enumerate(of_models))), lambda m: m.isNotNull())
     i, c, kind = F.col("invoice_index"), F.col("company_no"), F.col("business_type")
-    out = golden.invoices(spark, sf_dir).join(facts, "invoice_index").join(named, "invoice_index")
+    key = F.col("c_custkey")
+    sells = catalogue.category(business(key), key)
+    of_issuer = {
+        "company_no": key,
+        "issuer_name": F.col("c_name"),
+        "business_type": business(key),
+        "product_category": sells,
+        "llm_niche": catalogue.niche(sells, F.col("locale"), key),
+        "typeset": layout(key, F.lit(False)),
+        **{name: pick(name, options, key) for name, options in LOOKS.items()},
+        "font_scale": ((92 + hash52("font", key) % 21).cast("decimal(9,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(4,2)"),
+        "has_logo": hash52("logo", key) % 10 < 8,
+        "logo_style": pick("logo style", ["wordmark", "mark"], key),
+        "has_watermark": hash52("watermark", key) % 10 == 0,
+    }
+    out = golden.invoices(spark, sf_dir, facts, of_issuer).withColumn("models", models)
     none = lambda kind: F.lit(None).cast(kind)
     out = out.withColumn("condition", condition(i, kind)).withColumn("is_handwritten", F.col("condition") == "handwritten").withColumn("wear", F.when(F.col("condition") == "clean", F.lit(1).cast("decimal(4,3)")).otherwise(wear(i, 50, 1000)))
     out = out.withColumn("goods_receipt", F.col("is_handwritten") & kind.isin(GOODS) & F.col("deliverable"))
     out = out.withColumns({
         "run_id": F.lit(RUN),
-        "product_category": catalogue.category(kind, c),
-        "template_id": F.when((kind == "telecom") & ~F.col("is_handwritten"), "telecom-itemized-37").otherwise(layout(c, F.col("is_handwritten"))),
+        "template_id": F.when((kind == "telecom") & ~F.col("is_handwritten"), "telecom-itemized-37").when(F.col("is_handwritten"), layout(c, F.lit(True))).otherwise(F.col("typeset")),
         # declared, and filled by nobody yet: periods, the page count (layouts are worked out in ``pages``), and paths
         "billing_period_start": none("date"),
         "billing_period_end": none("date"),
@@ -120,14 +137,8 @@ def invoice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "catalogue_version": F.lit("star-1"),
         "is_crisp": F.col("wear") <= F.lit("0.25").cast("decimal(4,3)"),
         "received_date": F.when(F.col("goods_receipt"), F.date_add("issue_date", (hash52("received", i) % 7).cast("int"))),
-        **{name: pick(name, options, c) for name, options in LOOKS.items()},
         "column_vocabulary": F.when(kind == "telecom", "telecom").otherwise("standard"),
-        "font_scale": ((92 + hash52("font", c) % 21).cast("decimal(9,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(4,2)"),
-        "has_logo": hash52("logo", c) % 10 < 8,
-        "logo_style": pick("logo style", ["wordmark", "mark"], c),
-        "has_watermark": hash52("watermark", c) % 10 == 0,
     })
-    out = out.withColumn("llm_niche", catalogue.niche(F.col("product_category"), F.col("locale"), c))
     return declared(out, INVOICE_COLUMNS)
 
 

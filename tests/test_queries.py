@@ -104,3 +104,8 @@ def test_pages_number_the_lines_once(spark, sf, name):
     plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # one window for the lines' numbers, and two over sections
     assert plan.count("l_partkey") and plan.count("Relation [") == 1 and plan.count("Window [") <= 3
+
+
+def test_invoices_sum_the_lines_once(spark, sf):
+    plan = QUERIES["invoice_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_extendedprice") and plan.count("Relation [l_orderkey") == 1 and plan.count("Relation [o_orderkey") == 1 and "collect_set" not in plan
