@@ -33,7 +33,7 @@ BLOCK_BYTES = 1 << 20
 #: Pieces of more symbols than this are merged one by one.
 WIDE = 512
 #: Cached pieces per process; beyond it the cache starts anew.
-CACHE_PIECES = 1_500_000
+CACHE_PIECES = 500_000
 #: Keys of long pieces start here.
 LONG = np.uint64(1 << 63)
 

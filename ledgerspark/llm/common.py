@@ -91,19 +91,26 @@ def release() -> None:
         trim(0)
 
 
+#: Rows that a function of batches is given at once.
+SLICE = 1_024
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], pa.RecordBatch | Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """Apply a function of Arrow batches; it may return one batch or several."""
+    """Apply a function of Arrow batches; it may return one batch or several.
+
+    It is given slices of ``SLICE`` rows, and what they took is given back after each batch, so that a worker's memory is that
+    of a slice and not of ten thousand texts as Python values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = rows(batch)
-            if isinstance(out, pa.RecordBatch):
-                yield out
-            else:
-                yield from out
-        release()
+            for start in range(0, batch.num_rows, SLICE):
+                out = rows(batch.slice(start, SLICE))
+                if isinstance(out, pa.RecordBatch):
+                    yield out
+                else:
+                    yield from out
+            release()
 
     return df.mapInArrow(run, schema)
 

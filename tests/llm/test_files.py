@@ -249,3 +249,15 @@ def test_one_document_longer_than_a_frame(spark, tmp_path):
     got = {r.doc_id: r for r in op10_token_files.read_token_files(spark, target).collect()}
     ids = bpe.tokenizer(tokenizer_file(BYTE)).encode([text.encode()]).ids.astype("<u4").tolist() + [2]
     assert got[2].n_tokens == len(ids) and got[2].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes()) and got[3].start == got[2].start + len(ids)
+
+
+def test_batches_are_worked_on_in_slices(spark):
+    import pyarrow as pa
+
+    from ledgerspark.llm.common import SLICE, map_batches
+
+    def rows(batch):
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([batch.num_rows] * batch.num_rows, pa.int64())], names=["id", "n"])
+
+    got = map_batches(spark.range(0, 5_000, 1, 1), rows, "id long, n long").collect()
+    assert sorted(r.id for r in got) == list(range(5_000)) and max(r.n for r in got) <= SLICE
