@@ -134,6 +134,32 @@ def test_scores_are_those_of_gibbs_one_by_one(spark):
     assert all(abs(got[i] / want[i] - 1) < 0.05 for i in want)
 
 
+def test_every_preceding_word_is_a_context(spark, monkeypatch):
+    # 200 words, equally frequent, each with two followers of its own: of 63 contexts most words would have none
+    rng = random.Random(9)
+    follow = {i: rng.sample(range(200), 2) for i in range(200)}
+    rows = []
+    for i in range(120):
+        w, text = rng.randrange(200), []
+        for _ in range(25):
+            text.append(f"w{w}")
+            w = rng.choice(follow[w])
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    tests = [t for i, t in rows if held(i)]
+    want = dict(zip([i for i, _ in rows if held(i)], gibbs_one_by_one([t for i, t in rows if not held(i)], tests, 30, 10), strict=True))
+    # all words, some or none are dealt by context, and contexts go as numbers or as hashes
+    for hot, book in ((op2_hpylm.HOT, op2_hpylm.CONTEXTS), (5, 20), (0, 0)):
+        monkeypatch.setattr(op2_hpylm, "HOT", hot)
+        frequent = op2_hpylm.frequent_words
+        monkeypatch.setattr(op2_hpylm, "frequent_words", lambda rows, book=book, frequent=frequent: frequent(rows, book))
+        got = {r.doc_id: r for r in op2_hpylm.score(docs, burn=4, kept=8).collect()}
+        monkeypatch.setattr(op2_hpylm, "frequent_words", frequent)
+        assert all(abs(got[i].score / want[i] - 1) < 0.05 for i in want)
+        assert abs(sum(got[i].score for i in want) / sum(want.values()) - 1) < 0.01
+        assert sum(got[i].score for i in want) > 0.7 * sum(got[i].base_score for i in want)
+
+
 def test_predictions_add_up():
     rng = np.random.default_rng(2)
     n_words, contexts = 40, op2_hpylm.CONTEXTS + 1
